@@ -152,7 +152,7 @@ def shingle_hashes(words: np.ndarray, bounds: np.ndarray, width: int) -> list[np
             out.append(np.unique(h[first : last - width + 1]))
         elif last > first:
             own = words[first:last]
-            out.append(mix((own * LANES[8 : 8 + len(own)]).sum(keepdims=True, dtype=U64) + U64(len(own)) * LANES[3]))
+            out.append(mix((own * LANES[8 : 8 + len(own)]).sum(keepdims=True, dtype=U64) + U64(len(own) * int(LANES[3]) % (1 << 64))))
         else:
             out.append(h[:0])
     return out

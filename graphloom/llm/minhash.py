@@ -7,8 +7,9 @@ block is spread over block pairs), so no candidate of a bucket is lost and no bu
 Sketch comparisons stay inside numpy; only pairs whose estimate reaches ``loose`` become rows, and
 every one of them is confirmed on the full shingle sets.
 
-Odd input: null, empty or blank texts have an empty set and link with nothing; repeated rows of one
-``doc_id`` are one document whose text is the largest; null ``doc_id`` rows link with nothing and are kept.
+Odd input: null, empty or blank texts have an empty set and link with nothing; rows that repeat a ``doc_id``
+are one document with the links of all of them; rows without a ``doc_id`` are left out of the groups and stay
+in :func:`drop_near_copies`.
 """
 
 from __future__ import annotations
