@@ -4,10 +4,11 @@ Every 100-byte string is owned by one *anchor*: the least 32-byte gram in it (ri
 equal strings meet under equal grams and only about 3 % of all positions leave their block. A key's
 occurrences are reduced to at most two distinct contexts per block before the shuffle, hence a passage
 that a third of all texts share costs one record per block. Where one key has different contexts, their
-strings are classed inside the block by bucket-pointer refinement (:func:`refine_buckets`): eight-byte
-buckets first, then sorting on the bucket identifiers found 8, 16, 32 and 36 bytes on, each pass reusing
-the identifiers that the last one updated. Only the first member of every class goes on to the
-comparison between blocks, under a 128-bit fingerprint.
+strings are classed by bucket-pointer refinement (:func:`refine_buckets`): eight-byte buckets first, then
+sorting on the bucket identifiers found 8, 16, 32 and 36 bytes on, each pass reusing the identifiers that
+the last one updated. The contexts of a key meet in one task for that, unless the key is hot (over
+``HOT_CONTEXTS``): then each block refines its own, and only the first member of every local class goes on,
+spread by a 128-bit fingerprint of the string itself.
 
 Results for odd input: null or short texts lose nothing; rows with one ``doc_id`` count as one document,
 equal strings at equal starts of such rows both stay; a null ``doc_id`` ranks after all others; other
@@ -30,6 +31,7 @@ LENGTH = 100
 GRAM = 32
 BLOCK_BYTES = 16 << 20
 SEGMENT = 1 << 18
+HOT_CONTEXTS = 64
 LAST_ID = np.iinfo(np.int64).max
 
 
@@ -137,7 +139,8 @@ def _leaders(fresh: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(np.where(fresh, np.arange(len(fresh)), 0))
 
 
-KEYS = (U64, U64, np.int64, np.uint32)
+KEYS = (U64, U64, np.int64, np.uint32, np.uint8)
+CONTEXT = (np.int64, np.uint32, np.uint32, np.uint32)
 REPLY = (U64, U64, np.uint8)
 CLASS = (U64, U64, np.int64, np.uint32, np.uint32)
 RANGE = (np.uint32, np.uint32, np.uint32)
@@ -170,10 +173,10 @@ def _send_keys(parts: int, length: int):
         key, context, doc, lo = key[order], context[order], doc[order], lo[order]
         first = _heads(key, context)
         key, context, doc, lo = key[first], context[first], doc[first], lo[first]
-        nth = np.arange(len(key)) - _leaders(_heads(key))
-        keep = nth < 2
-        key, context, doc, lo = key[keep], context[keep], doc[keep], lo[keep]
-        return _table(_routed((key % U64(parts)).astype(np.int32), 0, block, (key, context, doc, lo)))
+        own = _leaders(_heads(key))
+        many = (np.bincount(own, minlength=len(own))[own] > HOT_CONTEXTS // 4).astype(np.uint8)
+        keep = np.arange(len(key)) - own < 2
+        return _table(_routed((key[keep] % U64(parts)).astype(np.int32), 0, block, tuple(c[keep] for c in (key, context, doc, lo, many))))
 
     return run
 
@@ -181,16 +184,18 @@ def _send_keys(parts: int, length: int):
 def _meet_keys(table: pa.Table) -> pa.Table:
     blobs, blocks = table["blob"].to_pylist(), table["block"].to_numpy()
     block = np.repeat(blocks, [int.from_bytes(b[:8], "little") for b in blobs])
-    key, context, doc, lo = unpack(blobs, KEYS)
-    order = np.lexsort((lo, doc, context, key))
-    key, context, doc, lo, block = key[order], context[order], doc[order], lo[order], block[order]
+    columns = unpack(blobs, KEYS)
+    order = np.lexsort((columns[3], columns[2], columns[1], columns[0]))
+    key, context, doc, lo, many = (c[order] for c in columns)
+    block = block[order]
     lead = _leaders(_heads(key, context))
     later = (doc > doc[lead]) | (lo > lo[lead])
     by_key = _leaders(_heads(key))
     groups, sizes = np.unique(by_key, return_counts=True)
     last = groups + sizes - 1
     several = np.repeat(context[groups] != context[last], sizes)
-    code = later.astype(np.uint8) | (several.astype(np.uint8) << np.uint8(1))
+    hot = np.repeat((sizes > HOT_CONTEXTS) | (np.add.reduceat(many, groups, dtype=np.int64) > 0 if len(groups) else sizes > 0), sizes)
+    code = later.astype(np.uint8) | (several.astype(np.uint8) << np.uint8(1)) | ((several & hot).astype(np.uint8) << np.uint8(2))
     said = code > 0
     return _table([(p, p, 0, b) for p, _, _, b in _routed(block[said], 0, 0, (key[said], context[said], code[said]))])
 
@@ -208,27 +213,37 @@ def _settle(parts: int, length: int):
         lead = _leaders(_heads(key, context))
         gone = (doc > doc[lead]) | (lo > lo[lead])
         k, c, code = unpack(replies["blob"].to_pylist(), REPLY)
-        spread = np.isin(key, k[code >= 2])
+        spread, hot = np.isin(key, k[code >= 2]), np.isin(key, k[code >= 4])
         again = code[(code & 1) > 0], k[(code & 1) > 0], c[(code & 1) > 0]
         gone |= np.isin(mix(key * LANES[30] + context), mix(again[1] * LANES[30] + again[2]))
         out = _routed(np.full(int(gone.sum()), block % parts, np.int32), 0, block, (row[gone], lo[gone], hi[gone]))
-        classed = np.flatnonzero(spread & ~gone)
-        out += _classes(classed, data, offsets, row, lo, hi, doc, length, parts, block)
+        out += _classes(np.flatnonzero(hot & ~gone), data, offsets, row, lo, hi, doc, length, parts, block)
+        sent = np.flatnonzero(spread & ~hot & ~gone)
+        sent = sent[np.argsort(key[sent] % U64(parts), kind="stable")]
+        part = (key[sent] % U64(parts)).astype(np.int32)
+        for own in np.split(sent, np.flatnonzero(np.diff(part)) + 1) if len(sent) else []:
+            head = pack(doc[own], row[own], lo[own], hi[own])
+            out.append((int(key[own[0]] % U64(parts)), block, 2, head + _contexts(own, data, offsets, row, lo, hi, length)[0].tobytes()))
         return _table(out)
 
     return run
 
 
-def _classes(chosen, data, offsets, row, lo, hi, doc, length, parts, block) -> list[tuple]:
-    """Local classes of the strings in the chosen anchors' contexts: later members go, first ones are sent on."""
-    if not len(chosen):
-        return []
-    a = offsets[row[chosen]] + lo[chosen]
+def _contexts(chosen, data, offsets, row, lo, hi, length):
+    """The bytes of the chosen anchors' contexts, with each byte's anchor and place in its context."""
     sizes = (hi[chosen] - lo[chosen]).astype(np.int64) + length
     begin = np.cumsum(sizes) - sizes
     own = np.repeat(np.arange(len(chosen)), sizes)
     within = np.arange(int(sizes.sum())) - begin[own]
-    buf = np.append(data[a[own] + within], np.zeros(length, np.uint8))
+    return data[(offsets[row[chosen]] + lo[chosen])[own] + within], own, within, sizes
+
+
+def _classes(chosen, data, offsets, row, lo, hi, doc, length, parts, block) -> list[tuple]:
+    """Local classes of the strings in the chosen anchors' contexts: later members go, first ones are sent on."""
+    if not len(chosen):
+        return []
+    raw, own, within, sizes = _contexts(chosen, data, offsets, row, lo, hi, length)
+    buf = np.append(raw, np.zeros(length, np.uint8))
     starts = np.flatnonzero(within <= (sizes - length)[own])
     classes = refine_buckets(buf, starts, length)
     own, within = own[starts], within[starts].astype(np.uint32)
@@ -248,7 +263,11 @@ def _classes(chosen, data, offsets, row, lo, hi, doc, length, parts, block) -> l
     return out + _routed((prints[1] % U64(parts)).astype(np.int32), 1, block, (*prints, d, r, p))
 
 
-def _meet_classes(table: pa.Table) -> pa.Table:
+def _meet_classes(length: int):
+    return lambda table: _met_classes(table, length)
+
+
+def _met_classes(table: pa.Table, length: int) -> pa.Table:
     kind = table["kind"].to_numpy()
     done = table.filter(pa.array(kind == 0))
     sent = table.filter(pa.array(kind == 1))
@@ -262,7 +281,32 @@ def _meet_classes(table: pa.Table) -> pa.Table:
         lead = _leaders(_heads(one, two))
         later = (doc > doc[lead]) | (pos > pos[lead])
         out += [(p, p, 0, b) for p, _, _, b in _routed(block[later], 0, 0, (row[later], pos[later], pos[later]))]
-    return _table(out)
+    return _table(out + _refined(table.filter(pa.array(kind == 2)), length))
+
+
+def _refined(sent: pa.Table, length: int) -> list[tuple]:
+    """Strings of contexts of one part's keys that occur earlier in another of these contexts."""
+    blobs = sent["blob"].to_pylist()
+    if not blobs:
+        return []
+    counts = [int.from_bytes(b[:8], "little") for b in blobs]
+    block = np.repeat(sent["block"].to_numpy(), counts)
+    doc, row, lo, hi = unpack(blobs, CONTEXT)
+    width = sum(np.dtype(k).itemsize for k in CONTEXT)
+    buf = np.frombuffer(b"".join([*(b[8 + n * width :] for b, n in zip(blobs, counts)), bytes(length)]), np.uint8)
+    sizes = (hi - lo).astype(np.int64) + length
+    own = np.repeat(np.arange(len(sizes)), sizes)
+    within = np.arange(len(own)) - (np.cumsum(sizes) - sizes)[own]
+    starts = np.flatnonzero(within <= (sizes - length)[own])
+    classes = refine_buckets(buf, starts, length)
+    own, pos = own[starts], lo[own[starts]] + within[starts].astype(np.uint32)
+    order = np.lexsort((pos, doc[own], classes))
+    classes, own, pos = classes[order], own[order], pos[order]
+    lead = _leaders(_heads(classes))
+    d = doc[own]
+    later = (d > d[lead]) | (pos > pos[lead])
+    own, pos = own[later], pos[later]
+    return [(p, p, 0, b) for p, _, _, b in _routed(block[own], 0, 0, (row[own], pos, pos))]
 
 
 def _runs(row: np.ndarray, lo: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
@@ -310,11 +354,10 @@ def _over_blocks(docs: DataFrame, length: int, shape, schema: str) -> DataFrame:
     n_blocks = max(2 * least, -(-total // BLOCK_BYTES))
     parts = max(least, -(-total // (2 * BLOCK_BYTES)))
     blocks = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).cast("int"))
-    text = blocks.select("block", "doc_id", "text")
-    keys = text.groupBy("block").applyInArrow(_send_keys(parts, length), ROUTED)
+    keys = blocks.groupBy("block").applyInArrow(_send_keys(parts, length), ROUTED)
     replies = keys.groupBy("part").applyInArrow(_meet_keys, ROUTED)
-    settled = text.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_settle(parts, length), ROUTED)
-    flagged = settled.groupBy("part").applyInArrow(_meet_classes, ROUTED)
+    settled = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_settle(parts, length), ROUTED)
+    flagged = settled.groupBy("part").applyInArrow(_meet_classes(length), ROUTED)
     return blocks.groupBy("block").cogroup(flagged.groupBy("block")).applyInArrow(_finish(length, shape), schema)
 
 
