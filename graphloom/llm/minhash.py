@@ -4,8 +4,9 @@ Sets that are equal collapse to one representative first. Within a band's bucket
 the bucket's smallest id only; what that links falls into components. A second pass takes the buckets that
 still hold several components and compares their sketches in blocks of bounded size (a bucket larger than a
 block is spread over block pairs), so no candidate of a bucket is lost and no bucket meets in one task.
-Sketch comparisons stay inside numpy; only pairs whose estimate reaches ``loose`` become rows, and
-every one of them is confirmed on the full shingle sets.
+Sketch comparisons stay inside numpy. For each set they give the members of larger components that come
+near; these are confirmed on the full sets in chunks of a component, to which every set travels once and from
+which one link for each guest returns, since all members of the chunk are linked already.
 
 Odd input: null, empty or blank texts have an empty set and link with nothing; rows that repeat a ``doc_id``
 are one document with the links of all of them; rows without a ``doc_id`` are left out of the groups and stay
@@ -133,24 +134,51 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, rule: NearRule) -> DataFrame:
     return both.where(f"100 * i >= {rule.percent} * (size(x) + size(y) - i)").select("a", "b")
 
 
-def _block_pairs(rule: NearRule):
+def _block_candidates(rule: NearRule):
+    """For each set of a block: the members of larger components whose sketches come near, by chunk of the component."""
+
     def run(table: pa.Table) -> pa.Table:
-        ids, comp, side = (table[c].to_numpy() for c in ("id", "component", "side"))
+        ids, comp, side, chunk, size, n = (table[c].to_numpy() for c in ("id", "component", "side", "chunk", "size", "n"))
         bits = np.frombuffer(b"".join(table["sketch"].to_pylist()), U64).reshape(len(ids), -1)
-        diagonal = bool(table["x"][0].as_py() == table["y"][0].as_py())
-        rows = np.arange(len(ids)) if diagonal else np.flatnonzero(side == 0)
-        cols = rows if diagonal else np.flatnonzero(side == 1)
-        a, b = [], []
-        for i in rows.tolist():
-            others = cols[cols > i] if diagonal else cols
-            others = others[comp[others] != comp[i]]
+        diagonal = table["x"][0].as_py() == table["y"][0].as_py()
+        out = []
+        for i in range(len(ids)):
+            home = (size > size[i]) | (size == size[i]) & (comp > comp[i])
+            alike = 100 * np.minimum(n, n[i]) >= rule.percent * np.maximum(n, n[i])
+            others = np.flatnonzero(home & alike if diagonal else home & alike & (side != side[i]))
             if len(others):
                 near = estimate(np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1), rule.samples, rule.sketch_bits) >= rule.loose
-                hit = ids[others[near]]
-                a.append(np.minimum(hit, ids[i]))
-                b.append(np.maximum(hit, ids[i]))
-        empty = [np.zeros(0, np.int64)]
-        return pa.table({"a": np.concatenate(a or empty), "b": np.concatenate(b or empty)})
+                others = others[near]
+                order = np.lexsort((chunk[others], comp[others]))
+                others = others[order]
+                cuts = np.flatnonzero((np.diff(comp[others]) != 0) | (np.diff(chunk[others]) != 0)) + 1
+                out += [(ids[i], comp[o[0]], chunk[o[0]], ids[o].tobytes()) for o in np.split(others, cuts) if len(o)]
+        cols = list(zip(*out)) or [[]] * 4
+        return pa.table({"a": pa.array(cols[0], pa.int64()), "component": pa.array(cols[1], pa.int64()), "chunk": pa.array(cols[2], pa.int32()), "near": pa.array(cols[3], pa.binary())})
+
+    return run
+
+
+def _links_into(rule: NearRule):
+    """One confirmed link for each guest that has one, among the members of a component's chunk."""
+
+    def run(homes: pa.Table, guests: pa.Table) -> pa.Table:
+        a, b = [], []
+        if homes.num_rows and guests.num_rows:
+            at = {d: k for k, d in enumerate(homes["id"].to_pylist())}
+            sets = [np.asarray(x.values) for x in homes["items"].combine_chunks()] if homes.num_rows else []
+            for guest, near, items in zip(guests["a"].to_pylist(), guests["near"].to_pylist(), guests["own"].combine_chunks()):
+                mine = np.asarray(items.values)
+                members = np.unique(np.concatenate([np.frombuffer(x, np.int64) for x in near]))
+                for d in members.tolist():
+                    if d in at:
+                        other = sets[at[d]]
+                        both = len(np.intersect1d(mine, other, assume_unique=True))
+                        if 100 * both >= rule.percent * (len(mine) + len(other) - both):
+                            a.append(guest)
+                            b.append(d)
+                            break
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
@@ -168,7 +196,7 @@ def near_groups(docs: DataFrame, rule: NearRule = NearRule()) -> DataFrame:
     links = copies.select(F.col("doc_id").alias("src"), F.col("lead").alias("dst"))
 
     lead_ids = leads.select(F.col("lead").alias("doc_id")).distinct()
-    sketch = scratch.save(sig.where("n_shingles > 0").join(lead_ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "print_a"]).select(F.col("doc_id").alias("id"), "bands", "sketch"), "leads")
+    sketch = scratch.save(sig.where("n_shingles > 0").join(lead_ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "print_a"]).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands", "sketch"), "leads")
     rows = sketch.select("id", F.posexplode("bands").alias("band", "key"))
     tops = rows.groupBy("band", "key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a != z").drop("z")
     spokes = rows.join(tops, ["band", "key"]).where("id != a").select("a", F.col("id").alias("b")).distinct()
@@ -176,16 +204,26 @@ def near_groups(docs: DataFrame, rule: NearRule = NearRule()) -> DataFrame:
     first = scratch.save(_confirmed(scratch.save(pairs, "spokes"), docs, rule), "linked")
     comp = scratch.save(component_labels(first.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "components")
 
-    placed = rows.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    placed = scratch.save(placed, "placed")
+    placed = scratch.save(rows.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
     mixed = placed.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo != hi")
-    chunks = F.ceil(F.col("n") / rule.block).cast("int")
-    spread = placed.join(mixed.select("band", "key", chunks.alias("chunks")), ["band", "key"])
-    spread = spread.withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    spread = spread.select("id", "component", "band", "key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    blocks = spread.join(sketch.select("id", "sketch"), "id").groupBy("band", "key", "x", "y").applyInArrow(_block_pairs(rule), "a bigint, b bigint").distinct()
-    late = _confirmed(scratch.save(blocks, "late"), docs, rule)
+    pieces = lambda n: F.ceil(n / rule.block).cast("int")
+    spread = scratch.save(placed.join(mixed.select("band", "key", pieces(F.col("n")).alias("blocks")), ["band", "key"]), "mixed")
+    members = spread.select("id", "component").distinct()
+    sizes = members.groupBy("component").agg(F.count("*").alias("size"))
+    members = members.join(sizes, "component").withColumn("chunk", F.pmod(F.xxhash64("id"), pieces(F.col("size"))).cast("int"))
+    members = scratch.save(members.join(sketch.select("id", "n", "sketch"), "id"), "members")
+    spread = spread.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = spread.select("id", "band", "key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    found = spread.join(members, "id").groupBy("band", "key", "x", "y").applyInArrow(_block_candidates(rule), "a bigint, component bigint, chunk int, near binary")
+    found = scratch.save(found, "candidates")
+    guests = found.groupBy("component", "chunk", "a").agg(F.collect_set("near").alias("near"))
+    chunks = found.select("component", "chunk").distinct()
+    homes = members.select("id", "component", "chunk").join(chunks, ["component", "chunk"], "left_semi")
+    wanted = homes.select(F.col("id").alias("doc_id")).unionByName(found.select(F.col("a").alias("doc_id"))).distinct()
+    sets = scratch.save(_full_sets(docs.join(wanted, "doc_id", "left_semi"), rule.words).withColumnRenamed("doc_id", "id"), "sets")
+    homes = homes.join(sets, "id").select("component", "chunk", "id", "items").groupBy("component", "chunk")
+    guests = guests.join(sets.select(F.col("id").alias("a"), F.col("items").alias("own")), "a").select(F.col("component").alias("into"), F.col("chunk").alias("part"), "a", "near", "own").groupBy("into", "part")
+    late = homes.cogroup(guests).applyInArrow(_links_into(rule), "a bigint, b bigint")
     links = links.unionByName(late.unionByName(first).select(F.col("a").alias("src"), F.col("b").alias("dst")))
     final = component_labels(scratch.save(links, "links"))
     counted = sig.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
@@ -197,12 +235,12 @@ def _sketch_filter(pairs: DataFrame, sketch: DataFrame, rule: NearRule) -> DataF
     """Pairs whose sketches agree well enough, by the population count of their XOR on the JVM."""
     words = rule.sketch_bits // 64
     part = lambda c, i: F.conv(F.hex(F.substring(c, 8 * i + 1, 8)), 16, -10).cast("long")
-    lanes = sketch.select("id", F.array(*[part("sketch", i) for i in range(words)]).alias("lanes"))
-    both = pairs.join(lanes.select(F.col("id").alias("a"), F.col("lanes").alias("p")), "a").join(lanes.select(F.col("id").alias("b"), F.col("lanes").alias("q")), "b")
+    lanes = sketch.select("id", "n", F.array(*[part("sketch", i) for i in range(words)]).alias("lanes"))
+    both = pairs.join(lanes.select(F.col("id").alias("a"), F.col("lanes").alias("p"), F.col("n").alias("m")), "a").join(lanes.select(F.col("id").alias("b"), F.col("lanes").alias("q"), "n"), "b")
     differing = sum((F.bit_count(F.col("p")[i].bitwiseXOR(F.col("q")[i])) for i in range(words)), F.lit(0))
     # The estimate falls as the count grows, so the bound on it is one on the count.
     most = int(max(np.flatnonzero(estimate(np.arange(rule.sketch_bits // 2 + 1), rule.samples, rule.sketch_bits) >= rule.loose)))
-    return both.where(differing <= most).select("a", "b")
+    return both.where((differing <= most) & (100 * F.least("m", "n") >= rule.percent * F.greatest("m", "n"))).select("a", "b")
 
 
 def drop_near_copies(docs: DataFrame, rule: NearRule = NearRule()) -> DataFrame:
