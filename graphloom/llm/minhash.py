@@ -29,14 +29,15 @@ from .kernels import LANES, LOWER, U64, _odd, batches, mix, shingle_hashes, text
 
 @dataclass(frozen=True)
 class NearRule:
-    """``percent``: least similarity. A pair at 0.8 misses all ``bands`` of ``rows`` with probability under 1e-7."""
+    """``percent``: least similarity. A pair that has just that misses all ``bands`` of ``rows`` samples with
+    probability ``(1 - (percent / 100) ** rows) ** bands``: 3e-6 for 80 with 4 rows, 8e-7 for 85 with 5."""
 
     words: int = 5
     percent: int = 80
-    bands: int = 32
+    bands: int = 24
     rows: int = 4
     sketch_bits: int = 1024
-    block: int = 256
+    block: int = 1024
 
     @property
     def samples(self) -> int:
@@ -100,7 +101,7 @@ def signatures(docs: DataFrame, rule: NearRule) -> DataFrame:
                 folded = np.zeros((len(full), rule.bands), U64)
                 for j in range(rule.rows):
                     folded += least[:, j :: rule.rows] * LANES[60 + j]
-                keys[own] = mix(folded)
+                keys[own] = mix(folded + np.arange(rule.bands, dtype=U64) * LANES[6])
                 sketch[own] = sketches_of(least, rule.sketch_bits)
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), pa.array(count), pa.array(prints[:, 0].view(np.int64)), pa.array(prints[:, 1].view(np.int64)),
@@ -197,24 +198,25 @@ def near_groups(docs: DataFrame, rule: NearRule = NearRule()) -> DataFrame:
 
     lead_ids = leads.select(F.col("lead").alias("doc_id")).distinct()
     sketch = scratch.save(sig.where("n_shingles > 0").join(lead_ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "print_a"]).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands", "sketch"), "leads")
-    rows = sketch.select("id", F.posexplode("bands").alias("band", "key"))
-    tops = rows.groupBy("band", "key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a != z").drop("z")
-    spokes = rows.join(tops, ["band", "key"]).where("id != a").select("a", F.col("id").alias("b")).distinct()
+    rows = sketch.select("id", F.explode("bands").alias("key"))
+    tops = rows.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a != z").drop("z")
+    rows = scratch.save(rows.join(tops, "key"), "shared")
+    spokes = rows.where("id != a").select("a", F.col("id").alias("b")).distinct()
     pairs = _sketch_filter(spokes, sketch, rule)
     first = scratch.save(_confirmed(scratch.save(pairs, "spokes"), docs, rule), "linked")
     comp = scratch.save(component_labels(first.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "components")
 
-    placed = scratch.save(rows.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
-    mixed = placed.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo != hi")
+    placed = scratch.save(rows.drop("a").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
+    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo != hi")
     pieces = lambda n: F.ceil(n / rule.block).cast("int")
-    spread = scratch.save(placed.join(mixed.select("band", "key", pieces(F.col("n")).alias("blocks")), ["band", "key"]), "mixed")
+    spread = scratch.save(placed.join(mixed.select("key", pieces(F.col("n")).alias("blocks")), "key"), "mixed")
     members = spread.select("id", "component").distinct()
     sizes = members.groupBy("component").agg(F.count("*").alias("size"))
     members = members.join(sizes, "component").withColumn("chunk", F.pmod(F.xxhash64("id"), pieces(F.col("size"))).cast("int"))
     members = scratch.save(members.join(sketch.select("id", "n", "sketch"), "id"), "members")
     spread = spread.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("id", "band", "key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    found = spread.join(members, "id").groupBy("band", "key", "x", "y").applyInArrow(_block_candidates(rule), "a bigint, component bigint, chunk int, near binary")
+    spread = spread.select("id", "key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    found = spread.join(members, "id").groupBy("key", "x", "y").applyInArrow(_block_candidates(rule), "a bigint, component bigint, chunk int, near binary")
     found = scratch.save(found, "candidates")
     guests = found.groupBy("component", "chunk", "a").agg(F.collect_set("near").alias("near"))
     chunks = found.select("component", "chunk").distinct()

@@ -34,7 +34,7 @@ def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_groups(_read(spark, sf_dir, "documents"), minhash.NearRule(words=3, percent=85))
+    return minhash.near_groups(_read(spark, sf_dir, "documents"), minhash.NearRule(words=3, percent=85, rows=5))
 
 
 def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
