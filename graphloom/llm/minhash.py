@@ -125,12 +125,10 @@ def _full_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, items array<bigint>")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, rule: NearRule) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, rule: NearRule) -> DataFrame:
     """Those of ``pairs(a, b)`` whose full sets are similar enough."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = _full_sets(docs.join(wanted, "doc_id", "left_semi"), rule.words)
-    left = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y"))
+    left = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
+    right = sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
     both = pairs.join(left, "a").join(right, "b").withColumn("i", F.size(F.array_intersect("x", "y")))
     return both.where(f"100 * i >= {rule.percent} * (size(x) + size(y) - i)").select("a", "b")
 
@@ -201,9 +199,11 @@ def near_groups(docs: DataFrame, rule: NearRule = NearRule()) -> DataFrame:
     rows = sketch.select("id", F.explode("bands").alias("key"))
     tops = rows.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a != z").drop("z")
     rows = scratch.save(rows.join(tops, "key"), "shared")
+    wanted = rows.select(F.col("id").alias("doc_id")).distinct()
+    sets = scratch.save(_full_sets(docs.join(wanted, "doc_id", "left_semi"), rule.words).withColumnRenamed("doc_id", "id"), "sets")
     spokes = rows.where("id != a").select("a", F.col("id").alias("b")).distinct()
     pairs = _sketch_filter(spokes, sketch, rule)
-    first = scratch.save(_confirmed(scratch.save(pairs, "spokes"), docs, rule), "linked")
+    first = scratch.save(_confirmed(pairs, sets, rule), "linked")
     comp = scratch.save(component_labels(first.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "components")
 
     placed = scratch.save(rows.drop("a").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
@@ -221,8 +221,6 @@ def near_groups(docs: DataFrame, rule: NearRule = NearRule()) -> DataFrame:
     guests = found.groupBy("component", "chunk", "a").agg(F.collect_set("near").alias("near"))
     chunks = found.select("component", "chunk").distinct()
     homes = members.select("id", "component", "chunk").join(chunks, ["component", "chunk"], "left_semi")
-    wanted = homes.select(F.col("id").alias("doc_id")).unionByName(found.select(F.col("a").alias("doc_id"))).distinct()
-    sets = scratch.save(_full_sets(docs.join(wanted, "doc_id", "left_semi"), rule.words).withColumnRenamed("doc_id", "id"), "sets")
     homes = homes.join(sets, "id").select("component", "chunk", "id", "items").groupBy("component", "chunk")
     guests = guests.join(sets.select(F.col("id").alias("a"), F.col("items").alias("own")), "a").select(F.col("component").alias("into"), F.col("chunk").alias("part"), "a", "near", "own").groupBy("into", "part")
     late = homes.cogroup(guests).applyInArrow(_links_into(rule), "a bigint, b bigint")
