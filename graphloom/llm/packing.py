@@ -24,15 +24,24 @@ from ..plans import Scratch
 from .kernels import LOWER
 
 SEQUENCE = 2048
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
+RUN_WORDS = 1000
+MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 TABLE = bytes(LOWER)
 
 
+def _plain_end(word: bytes) -> bool:
+    """Whether the last character is a letter that lower-casing leaves alone."""
+    last = word.decode()[-1]
+    return last.isalpha() and last.lower() == last
+
+
 class WordCoder:
     """Exact ids of a tokenizer whose pieces never cross ASCII white space and that lower-cases.
 
     Words are looked up in a bounded cache of packed little-endian ids; only new ones are encoded. A final
-    run of dots and commas after an ASCII letter is a piece of its own and is cached apart.
+    run of punctuation after a letter is a piece of its own and is cached apart; words of letters alone are one
+    piece each, so many are encoded as one text and told apart by their piece numbers.
     """
 
     def __init__(self, path: str):
@@ -47,13 +56,35 @@ class WordCoder:
     def _learn(self, words: set[bytes]) -> None:
         if len(self.cache) + len(words) > CACHE_WORDS:
             self.cache.clear()
-        cores = {w: w.rstrip(b".,") for w in words}
-        cores = {w: c for w, c in cores.items() if len(c) < len(w) and c and 97 <= c[-1] <= 122}
-        new = list(words.difference(cores).union(cores.values(), (w[len(c) :] for w, c in cores.items())).difference(self.cache))
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
+        split, new = [], set()
+        for w in words:
+            core = w.rstrip(MARKS)
+            if len(core) == len(w) or not core or not (97 <= core[-1] <= 122 or core[-1] > 127 and _plain_end(core)):
+                new.add(w)
+            else:
+                tail = w[len(core) :]
+                split.append((w, core, tail))
+                new.add(core)
+                new.add(tail)
+        new = new.difference(self.cache)
+        letters, rest = [], []
+        for w in new:
+            (letters if w.isalpha() or not w.isascii() and w.decode().isalpha() else rest).append(w)
+        for first in range(0, len(letters), RUN_WORDS):
+            run = letters[first : first + RUN_WORDS]
+            got = self.tokenizer.encode(b" ".join(run).decode(), add_special_tokens=False)
+            ends = np.cumsum(np.bincount(np.array(got.word_ids, np.int64), minlength=len(run)))
+            if len(ends) != len(run):  # lower-casing made something else than letters of a word
+                rest += run
+                continue
+            raw, at = np.array(got.ids, "<u4").tobytes(), 0
+            for w, end in zip(run, (4 * ends).tolist()):
+                self.cache[w] = raw[at:end]
+                at = end
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)):
             self.cache[w] = np.array(e.ids, "<u4").tobytes()
-        for w, c in cores.items():
-            self.cache[w] = self.cache[c] + self.cache[w[len(c) :]]
+        for w, core, tail in split:
+            self.cache[w] = self.cache[core] + self.cache[tail]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         words = [(t or "").encode().translate(TABLE).split() for t in texts]
@@ -76,7 +107,7 @@ def coder(path: str) -> WordCoder:
     return _CODERS[path]
 
 
-def _groups(texts: list, size: int = 1 << 18):
+def _groups(texts: list, size: int = 1 << 20):
     first, total = 0, 0
     for i, t in enumerate(texts):
         total += len(t or "")
