@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans import Scratch
+from ..plans import Scratch, bound_batches
 from .kernels import LANES, LOWER, U64, batches, mix, text_bytes, word_hashes
 
 LEAST_TILE = 5
@@ -137,6 +137,7 @@ def _leaks_in(index: Index, data: np.ndarray, offsets: np.ndarray, coverage: flo
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """A row for each document and benchmark item that it leaks."""
     spark = docs.sparkSession
+    bound_batches(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices = max(1, -(-total // SLICE_BYTES))

@@ -20,7 +20,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans import shuffle_partitions
+from ..plans import bound_batches, shuffle_partitions
 from .kernels import U64, rolling_hashes, window_minima
 
 GRAM = 20
@@ -113,6 +113,7 @@ def with_successor(docs: DataFrame):
     ``doc_id``, and only each bucket's largest id (a number of rows fixed by the bucket count) meets the driver.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     rank = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("rank", rank).withColumn("at", F.col("rank").cast("double"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0

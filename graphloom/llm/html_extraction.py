@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans import bound_batches
+
 LINES = 3
 SURGE = 80
 LEAST_PART = 0.25
@@ -159,6 +161,8 @@ def main_text(page: str | None) -> list[str]:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row."""
 
+    bound_batches(pages.sparkSession)
+
     def run(it):
         for batch in it:
             texts = ["\n\n".join(main_text(h)) for h in batch.column("html").to_pylist()]

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans import bound_batches
 from .kernels import LANES, U64, batches, gram_hashes, mix, text_bytes
 
 LEARN_DOCS = 20_000
@@ -64,6 +65,7 @@ def has_letter(text: str | None) -> bool:
 
 def learn(docs: DataFrame, allowed: Column) -> LanguageModel:
     """A model from the rows of ``docs(doc_id, text, lang)`` that ``allowed`` admits."""
+    bound_batches(docs.sparkSession)
     labelled = docs.where(allowed & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES + 1).collect()}
     if len(counts) > MOST_LANGUAGES:
@@ -116,6 +118,7 @@ def _spots(grams: np.ndarray):
 
 def identify(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFrame:
     """``keep`` columns of ``docs`` with lang_pred and score from ``text`` alone."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.slots, model.false_rates))
     names = [f"c{i}" for i in range(len(keep))]
     inner = docs.select("text", *[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)])

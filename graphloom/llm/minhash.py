@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import component_labels
-from ..plans import Scratch
+from ..plans import Scratch, bound_batches
 from .kernels import LANES, LOWER, U64, _odd, batches, mix, shingle_hashes, text_bytes, word_hashes
 
 
@@ -185,6 +185,7 @@ def _links_into(rule: NearRule):
 def near_groups(docs: DataFrame, rule: NearRule = NearRule()) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable) and kept, a row for each doc_id."""
     spark = docs.sparkSession
+    bound_batches(spark)
     scratch = Scratch(spark, "near")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sig = scratch.save(signatures(docs, rule), "signatures")

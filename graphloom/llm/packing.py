@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans import Scratch
+from ..plans import Scratch, bound_batches
 from .kernels import LOWER
 
 SEQUENCE = 2048
@@ -175,6 +175,7 @@ def best_fit_plan(counts: dict[int, int], sequence: int = SEQUENCE) -> np.ndarra
 
 def pack_documents(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: int = 0) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece."""
+    bound_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "packing")
     cut = scratch.save(pieces(docs.select(F.col("doc_id").cast("long"), "text"), tokenizer, sequence, end_id), "pieces")
     parts = cut.groupBy("part", "length").count()

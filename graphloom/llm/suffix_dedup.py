@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans import shuffle_partitions
+from ..plans import bound_batches, shuffle_partitions
 from .kernels import LANES, U64, gram_hashes, mix, pack, text_bytes, unpack, window_minima
 
 LENGTH = 100
@@ -349,6 +349,7 @@ def _finish(length: int, shape):
 
 def _over_blocks(docs: DataFrame, length: int, shape, schema: str) -> DataFrame:
     spark = docs.sparkSession
+    bound_batches(spark)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     least = shuffle_partitions(spark)
     n_blocks = max(2 * least, -(-total // BLOCK_BYTES))
