@@ -5,8 +5,8 @@ the bucket's smallest id only; what that links falls into components. A second p
 still hold several components and compares their sketches in blocks of bounded size (a bucket larger than a
 block is spread over block pairs), so no candidate of a bucket is lost and no bucket meets in one task.
 Sketch comparisons stay inside numpy. For each set they give the members of larger components that come
-near; these are confirmed on the full sets in chunks of a component, to which every set travels once and from
-which one link for each guest returns, since all members of the chunk are linked already.
+near; these are confirmed on the full sets in chunks of a family (all that buckets connect). A set travels once
+to its own chunk and once to each chunk where it has candidates, and one link into each component returns.
 
 Odd input: null, empty or blank texts have an empty set and link with nothing; rows that repeat a ``doc_id``
 are one document with the links of all of them; rows without a ``doc_id`` are left out of the groups and stay
@@ -134,10 +134,10 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, rule: NearRule) -> DataFrame:
 
 
 def _block_candidates(rule: NearRule):
-    """For each set of a block: the members of larger components whose sketches come near, by chunk of the component."""
+    """For each set of a block: the members of larger components whose sketches come near, by chunk of the family."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids, comp, side, chunk, size, n = (table[c].to_numpy() for c in ("id", "component", "side", "chunk", "size", "n"))
+        ids, comp, side, family, chunk, size, n = (table[c].to_numpy() for c in ("id", "component", "side", "family", "chunk", "size", "n"))
         bits = np.frombuffer(b"".join(table["sketch"].to_pylist()), U64).reshape(len(ids), -1)
         diagonal = table["x"][0].as_py() == table["y"][0].as_py()
         out = []
@@ -148,35 +148,35 @@ def _block_candidates(rule: NearRule):
             if len(others):
                 near = estimate(np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1), rule.samples, rule.sketch_bits) >= rule.loose
                 others = others[near]
-                order = np.lexsort((chunk[others], comp[others]))
-                others = others[order]
-                cuts = np.flatnonzero((np.diff(comp[others]) != 0) | (np.diff(chunk[others]) != 0)) + 1
-                out += [(ids[i], comp[o[0]], chunk[o[0]], ids[o].tobytes()) for o in np.split(others, cuts) if len(o)]
+                others = others[np.argsort(chunk[others], kind="stable")]
+                cuts = np.flatnonzero(np.diff(chunk[others])) + 1
+                out += [(ids[i], family[i], chunk[o[0]], ids[o].tobytes()) for o in np.split(others, cuts) if len(o)]
         cols = list(zip(*out)) or [[]] * 4
-        return pa.table({"a": pa.array(cols[0], pa.int64()), "component": pa.array(cols[1], pa.int64()), "chunk": pa.array(cols[2], pa.int32()), "near": pa.array(cols[3], pa.binary())})
+        return pa.table({"a": pa.array(cols[0], pa.int64()), "family": pa.array(cols[1], pa.int64()), "chunk": pa.array(cols[2], pa.int32()), "near": pa.array(cols[3], pa.binary())})
 
     return run
 
 
 def _links_into(rule: NearRule):
-    """One confirmed link for each guest that has one, among the members of a component's chunk."""
+    """Confirmed links of each guest, one into each component that has members in the chunk."""
 
     def run(homes: pa.Table, guests: pa.Table) -> pa.Table:
         a, b = [], []
         if homes.num_rows and guests.num_rows:
             at = {d: k for k, d in enumerate(homes["id"].to_pylist())}
+            comp = homes["component"].to_pylist()
             sets = [np.asarray(x.values) for x in homes["items"].combine_chunks()] if homes.num_rows else []
             for guest, near, items in zip(guests["a"].to_pylist(), guests["near"].to_pylist(), guests["own"].combine_chunks()):
                 mine = np.asarray(items.values)
-                members = np.unique(np.concatenate([np.frombuffer(x, np.int64) for x in near]))
+                members, linked = np.unique(np.concatenate([np.frombuffer(x, np.int64) for x in near])), set()
                 for d in members.tolist():
-                    if d in at:
+                    if d in at and comp[at[d]] not in linked:
                         other = sets[at[d]]
                         both = len(np.intersect1d(mine, other, assume_unique=True))
                         if 100 * both >= rule.percent * (len(mine) + len(other) - both):
                             a.append(guest)
                             b.append(d)
-                            break
+                            linked.add(comp[at[d]])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
@@ -202,7 +202,7 @@ def near_groups(docs: DataFrame, rule: NearRule = NearRule()) -> DataFrame:
     rows = scratch.save(rows.join(tops, "key"), "shared")
     wanted = rows.select(F.col("id").alias("doc_id")).distinct()
     sets = scratch.save(_full_sets(docs.join(wanted, "doc_id", "left_semi"), rule.words).withColumnRenamed("doc_id", "id"), "sets")
-    spokes = rows.where("id != a").select("a", F.col("id").alias("b")).distinct()
+    spokes = scratch.save(rows.where("id != a").select("a", F.col("id").alias("b")).distinct(), "spokes")
     pairs = _sketch_filter(spokes, sketch, rule)
     first = scratch.save(_confirmed(pairs, sets, rule), "linked")
     comp = scratch.save(component_labels(first.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "components")
@@ -211,19 +211,21 @@ def near_groups(docs: DataFrame, rule: NearRule = NearRule()) -> DataFrame:
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo != hi")
     pieces = lambda n: F.ceil(n / rule.block).cast("int")
     spread = scratch.save(placed.join(mixed.select("key", pieces(F.col("n")).alias("blocks")), "key"), "mixed")
-    members = spread.select("id", "component").distinct()
+    # A family holds all that buckets connect, so a bucket's candidates lie in the few chunks of one family.
+    family = component_labels(spokes.select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnRenamed("component", "family")
+    members = scratch.save(spread.select("id", "component").distinct().join(family, "id"), "families")
     sizes = members.groupBy("component").agg(F.count("*").alias("size"))
-    members = members.join(sizes, "component").withColumn("chunk", F.pmod(F.xxhash64("id"), pieces(F.col("size"))).cast("int"))
+    chunks = members.groupBy("family").agg(pieces(F.count("*")).alias("chunks"))
+    members = members.join(sizes, "component").join(chunks, "family").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).drop("chunks")
     members = scratch.save(members.join(sketch.select("id", "n", "sketch"), "id"), "members")
     spread = spread.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select("id", "key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    found = spread.join(members, "id").groupBy("key", "x", "y").applyInArrow(_block_candidates(rule), "a bigint, component bigint, chunk int, near binary")
+    found = spread.join(members, "id").groupBy("key", "x", "y").applyInArrow(_block_candidates(rule), "a bigint, family bigint, chunk int, near binary")
     found = scratch.save(found, "candidates")
-    guests = found.groupBy("component", "chunk", "a").agg(F.collect_set("near").alias("near"))
-    chunks = found.select("component", "chunk").distinct()
-    homes = members.select("id", "component", "chunk").join(chunks, ["component", "chunk"], "left_semi")
-    homes = homes.join(sets, "id").select("component", "chunk", "id", "items").groupBy("component", "chunk")
-    guests = guests.join(sets.select(F.col("id").alias("a"), F.col("items").alias("own")), "a").select(F.col("component").alias("into"), F.col("chunk").alias("part"), "a", "near", "own").groupBy("into", "part")
+    guests = found.groupBy("family", "chunk", "a").agg(F.collect_set("near").alias("near"))
+    homes = members.select("id", "component", "family", "chunk").join(found.select("family", "chunk").distinct(), ["family", "chunk"], "left_semi")
+    homes = homes.join(sets, "id").select("family", "chunk", "id", "component", "items").groupBy("family", "chunk")
+    guests = guests.join(sets.select(F.col("id").alias("a"), F.col("items").alias("own")), "a").select(F.col("family").alias("into"), F.col("chunk").alias("part"), "a", "near", "own").groupBy("into", "part")
     late = homes.cogroup(guests).applyInArrow(_links_into(rule), "a bigint, b bigint")
     links = links.unionByName(late.unionByName(first).select(F.col("a").alias("src"), F.col("b").alias("dst")))
     final = component_labels(scratch.save(links, "links"))

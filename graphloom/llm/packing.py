@@ -24,7 +24,7 @@ from ..plans import Scratch, bound_batches
 from .kernels import LOWER
 
 SEQUENCE = 2048
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 RUN_WORDS = 1000
 MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 TABLE = bytes(LOWER)

@@ -352,8 +352,8 @@ def _over_blocks(docs: DataFrame, length: int, shape, schema: str) -> DataFrame:
     bound_batches(spark)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     least = shuffle_partitions(spark)
-    n_blocks = max(2 * least, -(-total // BLOCK_BYTES))
-    parts = max(2 * least, -(-total // (BLOCK_BYTES // 2)))
+    n_blocks = max(4 * least, -(-total // BLOCK_BYTES))
+    parts = max(least, -(-total // (BLOCK_BYTES // 4)))
     blocks = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).cast("int"))
     keys = blocks.groupBy("block").applyInArrow(_send_keys(parts, length), ROUTED)
     replies = keys.groupBy("part").applyInArrow(_meet_keys, ROUTED)
