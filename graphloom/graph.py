@@ -90,9 +90,9 @@ class Graph:
             nodes = nodes.unionByName(more_nodes.select("id", (F.lit(1 << 40) + F.monotonically_increasing_id()).alias("pos"), *[(F.col(c) if c in more_nodes.columns else F.lit(None)).cast(k).alias(c) for c, k in (("x", "double"), ("y", "double"), ("attrs", ATTRS))]))
             merged = nodes.groupBy("id").agg(
                 F.min("pos").alias("pos"), F.max_by("x", F.when(F.col("x").isNotNull(), F.col("pos"))).alias("x"), F.max_by("y", F.when(F.col("y").isNotNull(), F.col("pos"))).alias("y"),
-                F.array_sort(F.collect_list(F.struct("pos", "attrs"))).alias("all"),
+                F.array_sort(F.collect_list(F.struct("pos", F.map_entries("attrs").alias("entries")))).alias("all"),
             )
-            entries = F.flatten(F.transform("all", lambda s: F.coalesce(F.map_entries(s["attrs"]), F.array().cast("array<struct<key:string,value:string>>"))))
+            entries = F.flatten(F.transform("all", lambda s: F.coalesce(s["entries"], F.array().cast("array<struct<key:string,value:string>>"))))
             last = F.aggregate(entries, F.create_map().cast(ATTRS), lambda m, e: F.map_concat(F.map_filter(m, lambda k, _: k != e["key"]), F.create_map(e["key"], e["value"])))
             nodes = merged.select("id", "pos", "x", "y", last.alias("attrs"))
         return Graph.from_edges(rows, self.directed, self.weighted, nodes)
