@@ -1,7 +1,8 @@
 """The graph: two DataFrames and two flags.
 
-``nodes``: id, node_pos, x, y, attrs. ``edges``: src, dst, weight, edge_pos, a row for each edge of a simple
-graph. Row order never matters; ``node_pos`` and ``edge_pos`` carry insertion order.
+``nodes``: id, node_pos, x, y, attrs. ``edges``: src, dst, weight, edge_pos, nbr_pos, a row for each edge of a
+simple graph. Row order never matters: ``node_pos`` is the order of nodes, ``edge_pos`` that of edges listed node
+by node, and ``nbr_pos`` that in which edges were made, which orders the neighbours of a node.
 """
 
 from __future__ import annotations
@@ -59,7 +60,8 @@ class Graph:
             swap = F.col("ps") > F.col("pd")
             once = once.select(F.when(swap, b).otherwise(a).alias("src"), F.when(swap, a).otherwise(b).alias("dst"), "weight", "made", F.least("ps", "pd").alias("ps"))
         placed = with_positions(once, [F.col("ps"), F.col("made")], "edge_pos")
-        return Graph(nodes_df, placed.select("src", "dst", "weight", "edge_pos"), directed, weighted)
+        made = F.col("made").cast("long") if "pos" in cols else F.col("edge_pos")
+        return Graph(nodes_df, placed.select("src", "dst", "weight", "edge_pos", made.alias("nbr_pos")), directed, weighted)
 
     @staticmethod
     def of(spark: SparkSession, edges: Iterable, directed: bool = False, weighted: bool = False, nodes: Iterable | None = None) -> Graph:
@@ -80,11 +82,12 @@ class Graph:
     # Changing
 
     def _rebuilt(self, more_edges: DataFrame | None = None, more_nodes: DataFrame | None = None) -> Graph:
-        rows = self.edges.select("src", "dst", "weight", F.struct(F.lit(0).alias("late"), F.col("edge_pos").alias("pos")).alias("pos"))
+        rows = self.edges.select("src", "dst", "weight", F.col("nbr_pos").alias("pos"))
         if more_edges is not None:
             weight = F.col("weight").cast("double") if "weight" in more_edges.columns else F.lit(1.0)
             pos = F.col("pos") if "pos" in more_edges.columns else F.monotonically_increasing_id()
-            rows = rows.unionByName(more_edges.select("src", "dst", weight.alias("weight"), F.struct(F.lit(1).alias("late"), pos.cast("long").alias("pos")).alias("pos")))
+            late = (self.edges.agg(F.max("nbr_pos")).first()[0] or 0) + 1
+            rows = rows.unionByName(more_edges.select("src", "dst", weight.alias("weight"), (pos.cast("long") + F.lit(late)).alias("pos")))
         nodes = self.nodes.select("id", F.col("node_pos").alias("pos"), "x", "y", "attrs")
         if more_nodes is not None:
             nodes = nodes.unionByName(more_nodes.select("id", (F.lit(1 << 40) + F.monotonically_increasing_id()).alias("pos"), *[(F.col(c) if c in more_nodes.columns else F.lit(None)).cast(k).alias(c) for c, k in (("x", "double"), ("y", "double"), ("attrs", ATTRS))]))
@@ -122,7 +125,7 @@ class Graph:
 
     def adjacency(self) -> DataFrame:
         """src, dst, weight, nbr_pos: directed edges as they are, undirected ones both ways, self-loops once."""
-        e = self.edges.withColumnRenamed("edge_pos", "nbr_pos")
+        e = self.edges.select("src", "dst", "weight", "nbr_pos")
         return e if self.directed else e.unionByName(e.where("src != dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight", "nbr_pos"))
 
     def oriented_edges(self) -> DataFrame:

@@ -49,6 +49,12 @@ def _distances(graph: Graph, scratch: Scratch) -> tuple[DataFrame, int]:
         seen, level = seen.unionByName(front), level + 1
 
 
+def reached_counts(graph: Graph) -> DataFrame:
+    """id, n: how many nodes each one reaches, itself included."""
+    seen, _ = _distances(graph, Scratch(graph.nodes.sparkSession, "reached"))
+    return seen.groupBy(F.col("source").alias("id")).agg(F.count("*").alias("n"))
+
+
 def betweenness_centrality(graph: Graph) -> DataFrame:
     """id, score: Brandes' sums over all sources, normalised as for the graph's kind when it has over two nodes."""
     scratch = Scratch(graph.nodes.sparkSession, "betweenness")

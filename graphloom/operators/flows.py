@@ -59,7 +59,7 @@ def _max_flow(rows: list[tuple], source, sink) -> tuple[float, dict, set]:
                 path.append(step)
 
 
-def _between(graph: Graph, source, sink) -> DataFrame:
+def between(graph: Graph, source, sink) -> DataFrame:
     """Capacities on ways from source to sink."""
     for node, what in ((source, "source"), (sink, "sink")):
         graph.ensure_node(node, what)
@@ -76,7 +76,7 @@ def _flow_rows(graph: Graph, source, sink) -> DataFrame:
     """kind (value, flow, side), u, v, amount."""
     kind = graph.nodes.schema["id"].dataType.simpleString()
     spark = graph.nodes.sparkSession
-    caps = _between(graph, source, sink).unionByName(spark.createDataFrame([(source, sink, 0.0, 0)], f"src {kind}, dst {kind}, capacity double, g int"))
+    caps = between(graph, source, sink).unionByName(spark.createDataFrame([(source, sink, 0.0, 0)], f"src {kind}, dst {kind}, capacity double, g int"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["src", "dst"])
@@ -103,12 +103,15 @@ def min_cut(graph: Graph, source, sink) -> tuple[DataFrame, DataFrame, DataFrame
     return cut.agg(F.coalesce(F.sum("capacity"), F.lit(0.0)).alias("value")), cut, sides
 
 
-def _matched(pairs: list[tuple]) -> dict:
-    """Partner of each left node: Hopcroft-Karp, phases of shortest alternating paths, without recursion."""
+def matched(pairs: list[tuple], log: list[dict] | None = None) -> dict:
+    """Partner of each left node: Hopcroft-Karp, phases of shortest alternating paths, without recursion.
+
+    ``log`` takes a step for each node that a phase matches, and one for each phase.
+    """
     near: dict = {}
     for a, b in sorted(pairs):
         near.setdefault(a, []).append(b)
-    mate_l, mate_r = {}, {}
+    mate_l, mate_r, phase, size = {}, {}, 0, 0
     while True:
         depth = {a: 0 for a in near if a not in mate_l}
         queue, open_end = deque(depth), False
@@ -123,7 +126,7 @@ def _matched(pairs: list[tuple]) -> dict:
                     queue.append(c)
         if not open_end:
             return mate_l
-        todo = {a: iter(bs) for a, bs in near.items()}
+        todo, phase = {a: iter(bs) for a, bs in near.items()}, phase + 1
         for root in [a for a in near if a not in mate_l]:
             path, via = [root], []
             while path:
@@ -138,7 +141,12 @@ def _matched(pairs: list[tuple]) -> dict:
                 else:
                     for a, c in zip(path, [*via, b]):
                         mate_l[a], mate_r[c] = c, a
+                    if log is not None:
+                        log.append({"action": "match", "pair": [root, mate_l[root]], "phase": phase})
                     break
+        if log is not None:
+            log.append({"action": "phase", "phase": phase, "augmented": len(mate_l) - size, "matching_size": len(mate_l)})
+        size = len(mate_l)
 
 
 def hopcroft_karp(graph: Graph, left: DataFrame, right: DataFrame) -> DataFrame:
@@ -151,7 +159,7 @@ def hopcroft_karp(graph: Graph, left: DataFrame, right: DataFrame) -> DataFrame:
     placed = pairs.join(comp.withColumnRenamed("id", "left"), "left")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(list(_matched(list(zip(pdf.left.tolist(), pdf.right.tolist()))).items()), columns=["left", "right"])
+        return pd.DataFrame(list(matched(list(zip(pdf.left.tolist(), pdf.right.tolist()))).items()), columns=["left", "right"])
 
     return placed.groupBy("component").applyInPandas(run, f"left {kind}, right {kind}")
 

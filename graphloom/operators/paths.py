@@ -90,13 +90,18 @@ def floyd_warshall(graph: Graph) -> DataFrame:
             steps = max(steps, nodes)
 
 
+def potentials(graph: Graph) -> DataFrame:
+    """id, h: distances from a virtual node with free edges to all; a negative cycle is a ValueError."""
+    return _relax(graph.nodes.select("id", F.lit(0.0).alias("dist")), _edges(graph), [], graph.num_nodes() + 1).select("id", F.col("dist").alias("h"))
+
+
 def johnsons(graph: Graph) -> DataFrame:
     """src, dst, dist of all reachable pairs: potentials, reweighting, then all sources relaxed at once."""
     scratch = Scratch(graph.nodes.sparkSession, "johnson")
     edges = scratch.save(_edges(graph), "edges")
     if graph.nodes.isEmpty():
         return graph.nodes.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("dist"))
-    h = scratch.save(_relax(graph.nodes.select("id", F.lit(0.0).alias("dist")), edges, [], graph.num_nodes() + 1).select("id", F.col("dist").alias("h")), "potentials")
+    h = scratch.save(potentials(graph), "potentials")
     hs, hd = h.select(F.col("id").alias("src"), F.col("h").alias("hs")), h.select(F.col("id").alias("dst"), F.col("h").alias("hd"))
     moved = F.col("weight") + F.col("hs") - F.col("hd")
     shifted = edges.join(hs, "src").join(hd, "dst").select("src", "dst", F.when((moved < 0) & (moved >= -1e-9), 0.0).otherwise(moved).alias("weight"))

@@ -37,11 +37,18 @@ def bfs(graph: Graph, start, with_order: bool = True) -> DataFrame:
     return seen if with_order else seen.select("id", "dist")
 
 
-def _kernel(graph: Graph, run: Callable, schema: str, frame: DataFrame | None = None) -> DataFrame:
-    """A sequential algorithm over one graph's adjacency in one task; many graphs would run side by side."""
+def kernel(graph: Graph, run: Callable, schema: str, values: DataFrame | None = None) -> DataFrame:
+    """A sequential algorithm over one graph's adjacency in one task; many graphs would run side by side.
+
+    ``run`` takes {node: {neighbour: weight}} in order, and {node: h} where ``values(id, h)`` is given.
+    """
     adj = graph.adjacency().select(F.lit(1).alias("edge"), "src", "dst", "weight", F.col("nbr_pos").alias("pos"))
     nodes = graph.nodes.select(F.lit(0).alias("edge"), F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("weight"), F.col("node_pos").alias("pos"))
-    both = adj.unionByName(nodes).withColumn("g", F.lit(0))
+    both = adj.unionByName(nodes)
+    if values is not None:
+        both = both.unionByName(values.select(F.lit(2).alias("edge"), F.col("id").alias("src"), F.col("id").alias("dst"), F.col("h").alias("weight"), F.lit(0).cast("long").alias("pos")))
+
+    plain = values is None
 
     def call(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["edge", "pos"], kind="stable")
@@ -49,16 +56,24 @@ def _kernel(graph: Graph, run: Callable, schema: str, frame: DataFrame | None =
         part = pdf[pdf.edge == 1]
         for u, v, w in zip(part.src.tolist(), part.dst.tolist(), part.weight.tolist()):
             near[u][v] = w
-        return run(near)
+        if plain:
+            return run(near)
+        own = pdf[pdf.edge == 2]
+        return run(near, dict(zip(own.src.tolist(), own.weight.tolist())))
 
-    return both.groupBy("g").applyInPandas(call, schema)
+    return both.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(call, schema)
 
 
-def dfs(graph: Graph, start, component: DataFrame | None = None) -> DataFrame:
+def reached_part(graph: Graph, start) -> Graph:
+    """The graph of the nodes that ``start`` reaches."""
+    reach = bfs(graph, start, with_order=False).select("id")
+    edges = graph.edges.join(reach.withColumnRenamed("id", "src"), "src", "left_semi").join(reach.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    return Graph(graph.nodes.join(reach, "id", "left_semi"), edges, graph.directed, graph.weighted)
+
+
+def dfs(graph: Graph, start) -> DataFrame:
     """id, ord, via in depth-first preorder. Only what ``start`` reaches enters the sequential kernel."""
     kind = graph.nodes.schema["id"].dataType.simpleString()
-    reach = bfs(graph, start, with_order=False).select("id")
-    within = Graph(graph.nodes.join(reach, "id", "left_semi"), graph.edges.join(reach.withColumnRenamed("id", "src"), "src", "left_semi").join(reach.withColumnRenamed("id", "dst"), "dst", "left_semi"), graph.directed, graph.weighted)
 
     def run(near):
         order, seen, stack = [], set(), [(start, None)]
@@ -70,7 +85,7 @@ def dfs(graph: Graph, start, component: DataFrame | None = None) -> DataFrame:
                 stack.extend((w, v) for w in reversed(near[v]) if w not in seen)
         return pd.DataFrame(order, columns=["id", "ord", "via"])
 
-    return _kernel(within, run, f"id {kind}, ord bigint, via {kind}")
+    return kernel(reached_part(graph, start), run, f"id {kind}, ord bigint, via {kind}")
 
 
 dfs_iterative = dfs
