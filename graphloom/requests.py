@@ -289,8 +289,9 @@ def pagerank(spark, body):
 def eigenvector(spark, body):
     g = _graph(spark, body)
     scores, rounds, history = centrality.eigenvector_centrality(g, body.get("max_iterations", 100), body.get("tolerance", 1e-6))
-    # A round whose vector vanishes ends the iteration without a step.
-    logged = history[:-1] if history and history[-1] == 0.0 and not g.edges.limit(1).count() else history
+    # A round whose vector vanishes ends the iteration without a step. Only then has a node without in-edges a score.
+    lone = g.nodes.select("id").join(g.adjacency().select(F.col("dst").alias("id")), "id", "left_anti").join(scores, "id").where("score > 0")
+    logged = history[:-1] if history and history[-1] == 0.0 and not lone.isEmpty() else history
     return {"scores": _scores(g, scores), "iterations": rounds, "convergence_history": history, "steps": _steps(traces.iterations(g, logged))}
 
 
