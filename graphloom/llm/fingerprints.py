@@ -25,7 +25,6 @@ from .kernels import U64, rolling_hashes, window_minima
 
 GRAM = 20
 WINDOW = 40
-BUCKET_BYTES = 8 << 20
 LONG = 1 << 22
 
 
@@ -106,18 +105,18 @@ def fingerprints(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Dat
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, fingerprint string")
 
 
-def with_successor(docs: DataFrame):
-    """Buckets of neighbouring ids in which the last row's successor is present as a guest.
+def with_successor(docs: DataFrame) -> DataFrame:
+    """Rows in order inside buckets of neighbouring ids, each bucket closed by its last row's successor as a guest.
 
-    The order is by descending ``doc_id``; after the last row comes the first. Bounds are quantiles of
-    ``doc_id``, and only each bucket's largest id (a number of rows fixed by the bucket count) meets the driver.
+    The order is by descending ``doc_id``; after the last row comes the first. There are twice as many buckets
+    as shuffle partitions, however large the table is; their bounds are quantiles of ``doc_id``, and only each
+    bucket's largest id meets the driver. Buckets are sorted (and spilled) by Spark and never held as a whole.
     """
     spark = docs.sparkSession
     bound_batches(spark)
     rank = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("rank", rank).withColumn("at", F.col("rank").cast("double"))
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(2 * shuffle_partitions(spark), -(-total // BUCKET_BYTES))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("rank", rank).withColumn("at", F.col("rank").cast("double"))
+    n = 2 * shuffle_partitions(spark)
     cuts = sorted(set(docs.approxQuantile("at", [i / n for i in range(1, n)], 1 / (4 * n))))
     docs = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="at", outputCol="bucket").transform(docs) if cuts else docs.withColumn("bucket", F.lit(0.0))
     docs = docs.withColumn("bucket", F.col("bucket").cast("int")).drop("at")
@@ -126,25 +125,29 @@ def with_successor(docs: DataFrame):
     targets = spark.createDataFrame(above, "rank long, target int")
     sent = docs.join(F.broadcast(targets), "rank", "left")
     both = F.array(F.struct(F.col("bucket"), F.lit(False).alias("guest")), F.struct(F.col("target").alias("bucket"), F.lit(True).alias("guest")))
-    return sent.select("doc_id", "rank", "text", F.explode(F.filter(both, lambda x: x["bucket"].isNotNull())).alias("to")).select("doc_id", "rank", "text", "to.bucket", "to.guest")
+    out = sent.select("doc_id", "rank", "text", F.explode(F.filter(both, lambda x: x["bucket"].isNotNull())).alias("to")).select("doc_id", "rank", "text", "to.bucket", "to.guest")
+    return out.repartition("bucket").sortWithinPartitions("bucket", "guest", F.desc("rank"), "text")
 
 
 def compared_with_edits(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
     """Fingerprints of each text and of the text whose last third the next document's start replaces."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
-    def run(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table["guest"].to_pylist(), (-r for r in table["rank"].to_pylist()), (t or "" for t in table["text"].to_pylist()), table["doc_id"].to_pylist()), key=lambda r: r[:3])
-        own = [r for r in rows if not r[0]]
-        texts = [r[2] for r in own] + [r[2] for r in rows[len(own) : len(own) + 1]]
-        cut = [len(t) // 3 for t in texts]
-        edited = [(t[: len(t) - k] + later[:k]).encode() for t, k, later in zip(texts, cut, texts[1:])]
-        prints = winnow([t.encode() for t in texts], gram, window)
-        changed = winnow(edited, gram, window)
-        return pa.table([
-            [r[3] for r in own], [len(t) for t in texts[: len(own)]], [hashlib.sha256(e).hexdigest() for e in edited],
-            [encoded(p) for p in prints[: len(own)]], [encoded(p) for p in changed],
-            [likeness(a[1], b[1]) for a, b in zip(prints, changed)], [likeness(a[1], b[1]) for a, b in zip(prints, prints[1:])],
-        ], schema=schema)
-
-    return with_successor(docs).groupBy("bucket").applyInArrow(run, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    def run(it):
+        held: tuple = ()  # the row whose successor has not come yet: bucket, guest, doc_id, text, fingerprint
+        for batch in it:
+            cols = [batch.column(n).to_pylist() for n in ("bucket", "guest", "doc_id", "text")]
+            prints = winnow([t.encode() for t in cols[3]], gram, window)
+            rows = [*([held] if held else []), *zip(*cols, prints)]
+            # A guest has no result here, and a row's successor is the next row, the first guest at the latest.
+            pairs = [(a, b) for a, b in zip(rows, rows[1:]) if not a[1]]
+            edited = [(a[3][: len(a[3]) - len(a[3]) // 3] + b[3][: len(a[3]) // 3]).encode() for a, b in pairs]
+            changed = winnow(edited, gram, window)
+            held = rows[-1] if rows else ()
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((
+                [a[2] for a, _ in pairs], [len(a[3]) for a, _ in pairs], [hashlib.sha256(e).hexdigest() for e in edited],
+                [encoded(a[4]) for a, _ in pairs], [encoded(c) for c in changed],
+                [likeness(a[4][1], c[1]) for (a, _), c in zip(pairs, changed)], [likeness(a[4][1], b[4][1]) for a, b in pairs],
+            ), schema)], schema=schema)
+
+    return with_successor(docs).select("bucket", "guest", "doc_id", "text").mapInArrow(run, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
