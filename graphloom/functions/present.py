@@ -47,9 +47,9 @@ def score_style(t: Column) -> tuple[Column, Column]:
 
 
 def format_number(v: Column) -> Column:
-    """Whole numbers plainly, others with up to four places."""
+    """Whole numbers plainly, others with up to four places; null for null."""
     whole = v == F.floor(v)
-    return F.when(whole, F.floor(v).cast("string")).otherwise(F.regexp_replace(F.format_string("%.4f", v), r"\.?0+$", ""))
+    return F.when(whole, F.floor(v).cast("string")).when(v.isNotNull(), F.regexp_replace(F.format_string("%.4f", v), r"\.?0+$", ""))
 
 
 def format_weight(v: Column) -> Column:

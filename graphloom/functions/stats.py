@@ -108,4 +108,5 @@ def side_by_side(left: DataFrame, right: DataFrame, names: tuple[str, str] = ("k
 
 
 def sparse_probability(n: int, average_degree: float = 6.0, most: float = 0.5) -> float:
-    return min(most, average_degree / max(n - 1, 1))
+    """Edge probability for about ``average_degree`` neighbours of a node."""
+    return min(most, average_degree / (n - 1)) if n > 1 else 0.0
