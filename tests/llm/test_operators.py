@@ -230,3 +230,58 @@ def test_pipeline_keeps_columns(spark):
         docs = stage(spark, docs, sf)
         assert docs.columns == columns
     assert 0 < docs.count() < before
+
+
+def greedy_tiling(text, item, width):
+    """Words of ``item`` in tiles: the longest free common run is marked again and again."""
+    in_text, in_item = set(), set()
+    while True:
+        best = (0, 0, 0)
+        for a in range(len(text)):
+            for b in range(len(item)):
+                n = 0
+                while a + n < len(text) and b + n < len(item) and text[a + n] == item[b + n] and a + n not in in_text and b + n not in in_item:
+                    n += 1
+                if n > best[0]:
+                    best = (n, a, b)
+        n, a, b = best
+        if n < width:
+            return len(in_item)
+        in_text.update(range(a, a + n))
+        in_item.update(range(b, b + n))
+
+
+def test_leaks_match_brute_force(spark):
+    rng = random.Random(12)
+    words = [f"v{i}" for i in range(12)]
+    items = [(i, [rng.choice(words) for _ in range(rng.choice([3, 5, 12, 24]))]) for i in range(14)]
+    items += [(14, ["v0"] * 9), (15, items[3][1])]
+    docs = []
+    for i in range(60):
+        text = [rng.choice(words) for _ in range(rng.randint(0, 20))]
+        for _ in range(rng.randint(0, 3)):
+            item = rng.choice(items)[1]
+            a = rng.randrange(len(item))
+            text = rng.choice([text + item[a:], item[: a + 1] + text, text + item, text + item[a:] + item[:a]])
+        docs.append((i, text))
+    docs.append((90, ["v0"] * 30))
+    want = {(d, i) for d, text in docs for i, item in items if greedy_tiling(text, item, min(5, len(item))) >= 0.6 * len(item)}
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = [(r.doc_id, r.item_id) for r in decontamination.leaks(documents(spark, [(d, ", ".join(w).upper()) for d, w in docs]), bench).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
+
+
+def test_pipeline_of_odd_and_empty_tables(spark, texts):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    odd = documents(spark, [*texts[:40], *texts[-7:], (None, None), (None, "words of nobody at all"), (3, texts[1][1])])
+    for docs in (odd, odd.where("false")):
+        docs = docs.withColumn("lang", F.when(F.col("text").isNotNull(), "xx"))
+        for name, stage in corpus_pipeline.STAGES:
+            docs = stage(spark, docs, sf)
+            if name != "packing":
+                assert docs.columns == odd.columns
+        rows = docs.collect()
+        assert all(r.offset >= 0 and 0 < r.length <= 2048 for r in rows)
+    assert rows == []
