@@ -51,3 +51,15 @@ def test_edge_is_found_either_way(spark):
     edges = spark.createDataFrame([(0, 1, 1.0, 5), (1, 0, 2.0, 3), (2, 0, 1.0, 4)], "src long, dst long, weight double, edge_pos long")
     assert report.find_edge(edges, 0, 1).first()["edge_pos"] == 3 and report.find_edge(edges, "0", 1, True).first()["edge_pos"] == 5
     assert report.find_edge(edges, 0, 2, True).first() is None and report.find_edge(edges, 0, 2).first()["edge_pos"] == 4
+
+
+def test_workloads(spark):
+    from graphloom.operators import mst
+    from graphloom.sources import workloads
+
+    tree = mst.kruskals(workloads.connected(spark, 24, 3)).collect()
+    assert len(tree) == 23
+    net = workloads.flow_network(spark, 20, 1)
+    assert net.directed and net.weighted and all(0.25 <= r["weight"] <= 5 for r in net.edges.collect())
+    assert workloads.directed(spark, 12).directed and not workloads.undirected(spark, 12).directed and workloads.undirected(spark, 1).num_edges() == 0
+    assert all(1 <= r["weight"] <= 10 for r in workloads.weighted(spark, 12).edges.collect())
