@@ -8,6 +8,10 @@ Learning uses at most about ``LEARN_DOCS`` documents (chosen by a hash of their
 language) of those that the caller allows; an n-gram belongs to a language when it is at least
 ``LEAST_SHARE`` of the language's n-grams, so no more than ``1 / LEAST_SHARE`` are kept for each.
 
+Whether a text is in a learned language at all is decided by a gate for its number of n-grams. The gates lie between
+two measured distributions: scores of labelled documents that were not learned, and scores of the same documents
+with their own language (and its kin, such as ``en-US`` of ``en``) left out; starts of them stand for short texts.
+
 Odd input: null texts and texts without a letter are ``und`` with score 0; with nothing to learn from every
 text is ``und``; a text that matches no n-gram gets the most frequent language with score 0.
 """
@@ -31,8 +35,13 @@ SLOTS = 1 << 19
 PROBES = 3
 GRAM = 4
 MOST_LANGUAGES = 64
-REJECT_BELOW = 0.15
-SHORT_BYTES = 64
+GATE_DOCS = 4_000
+#: Gates by the power of two of a text's n-grams.
+SIZES = 13
+STEPS = 100
+#: A lost text of a learned language weighs as much as this many kept texts of an unlearned one.
+LOSS = 20
+KIN = 0.6
 ASCII_LETTER = re.compile("[A-Za-z]")
 #: Bytes as letters (lower-cased, every byte beyond ASCII counts) or blanks.
 FOLD = np.full(256, 32, np.uint8)
@@ -45,6 +54,8 @@ class LanguageModel:
     languages: list[str]
     slots: np.ndarray
     false_rates: np.ndarray
+    documents: list[int]
+    kin: np.ndarray
 
 
 def _grams(data: np.ndarray, offsets: np.ndarray):
@@ -72,7 +83,7 @@ def learn(docs: DataFrame, allowed: Column) -> LanguageModel:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     languages = list(counts)
     if not languages:
-        return LanguageModel([], np.zeros(SLOTS, U64), np.zeros(0))
+        return LanguageModel([], np.zeros(SLOTS, U64), np.zeros(0), [], np.zeros((0, 0), bool))
     each = LEARN_DOCS / len(languages)
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, each / n))])
     chosen = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
@@ -103,7 +114,14 @@ def learn(docs: DataFrame, allowed: Column) -> LanguageModel:
     for spot in _spots(grams):
         np.bitwise_or.at(slots, spot, bits)
     fill = np.array([((slots >> U64(k)) & U64(1)).mean() for k in range(len(languages))])
-    return LanguageModel(languages, slots, fill**PROBES)
+    rates, owner = fill**PROBES, kept["k"].to_numpy()
+    alike = np.zeros((len(languages), len(languages)))
+    for k in range(len(languages)):
+        answer = _answers(slots, grams[owner == k])
+        alike[k] = [((answer >> U64(j)) & U64(1)).mean() if len(answer) else 0.0 for j in range(len(languages))]
+    alike = (alike - rates) / np.maximum(1 - rates, 1e-9)
+    kin = (np.maximum(alike, alike.T) >= KIN) | np.eye(len(languages), dtype=bool)
+    return LanguageModel(languages, slots, rates, list(counts.values()), kin)
 
 
 def _summed(parts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -116,13 +134,84 @@ def _spots(grams: np.ndarray):
         yield (mix(grams * LANES[70 + j]) % U64(SLOTS)).astype(np.int64)
 
 
-def identify(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFrame:
-    """``keep`` columns of ``docs`` with lang_pred and score from ``text`` alone."""
+def _answers(slots: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    return np.bitwise_and.reduce([slots[s] for s in _spots(grams)])
+
+
+def measure_gates(docs: DataFrame, model: LanguageModel, unseen: Column) -> np.ndarray:
+    """The least score of each size class, from the labelled rows of ``docs`` that ``unseen`` admits.
+
+    Costs are means over languages. With no language to leave out, the gate is half of the median score; without any
+    labelled unseen row nothing is rejected.
+    """
+    bound_batches(docs.sparkSession)
+    each = GATE_DOCS / len(model.languages)
+    number = {lang: i for i, lang in enumerate(model.languages)}
+    share = F.create_map(*[F.lit(x) for lang, n in zip(model.languages, model.documents) for x in (lang, min(1.0, 2 * each / n))])
+    labelled = docs.where(unseen & F.col("lang").isin(model.languages) & F.col("text").isNotNull())
+    chosen = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
+    shared = docs.sparkSession.sparkContext.broadcast((model.slots, model.false_rates, model.kin))
+
+    def measure(it):
+        slots, rates, kin = shared.value
+        found = np.zeros((2, len(kin), SIZES, STEPS + 1), np.int64)
+        for batch in it:
+            data, offsets = text_bytes(batch.column("text"))
+            own = np.array([number[x] for x in batch.column("lang").to_pylist()], np.int64)
+            for a, b in batches(offsets):
+                h, bounds = _grams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                answer, n, lang = _answers(slots, h), np.diff(bounds), own[a:b]
+                score = np.zeros((SIZES, b - a, len(kin)))
+                for k in range(len(kin)):
+                    hits = np.append(0, np.cumsum((answer >> U64(k)) & U64(1), dtype=np.int64))
+                    for c in range(SIZES):
+                        at = np.flatnonzero(n >= 1 << c)
+                        start = bounds[:-1][at]
+                        score[c, at, k] = np.clip(((hits[start + (1 << c)] - hits[start]) / (1 << c) - rates[k]) / (1 - rates[k]), 0, 1)
+                for c in range(SIZES):
+                    at = np.flatnonzero(n >= 1 << c)
+                    inside = score[c, at].max(1)
+                    outside = np.where(kin[lang[at]], -1, score[c, at]).max(1)
+                    np.add.at(found, (0, lang[at], c, (inside * STEPS).astype(np.int64)), 1)
+                    at, outside = at[outside >= 0], outside[outside >= 0]
+                    np.add.at(found, (1, lang[at], c, (outside * STEPS).astype(np.int64)), 1)
+        side, k, c, step = np.nonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (side, k, c, step, found[side, k, c, step])], ["side", "k", "c", "step", "n"])
+
+    rows = chosen.select("lang", "text").mapInArrow(measure, "side bigint, k bigint, c bigint, step bigint, n bigint")
+    found = np.zeros((2, len(model.languages), SIZES, STEPS + 1))
+    for r in rows.groupBy("side", "k", "c", "step").agg(F.sum("n").alias("n")).collect():
+        found[r["side"], r["k"], r["c"], r["step"]] = r["n"]
+    return np.array([_gate(found[0, :, c], found[1, :, c]) for c in range(SIZES)])
+
+
+def _gate(inside: np.ndarray, outside: np.ndarray) -> float:
+    """The score of least cost, from counts of scores (languages x steps); the middle of equally good ones."""
+    inside, outside = (x[x.sum(1) > 0] for x in (inside, outside))
+    if not len(inside):
+        return 0.0
+    below = np.cumsum(inside / inside.sum(1, keepdims=True), 1).mean(0)
+    if not len(outside):
+        return np.searchsorted(below, 0.5) / STEPS / 2
+    lost = np.append(0, below[:-1])
+    kept = 1 - np.append(0, np.cumsum(outside / outside.sum(1, keepdims=True), 1).mean(0)[:-1])
+    cost = LOSS * lost + kept
+    best = np.flatnonzero(cost <= cost.min() + 1e-9)
+    return best[len(best) // 2] / STEPS
+
+
+def identify(docs: DataFrame, model: LanguageModel, keep: list[str], gates: np.ndarray | None = None) -> DataFrame:
+    """``keep`` columns of ``docs`` with lang_pred and score from ``text`` alone, and with ``gates`` whether it ``fits``.
+
+    Texts too short for a single n-gram fit.
+    """
     bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.slots, model.false_rates))
     names = [f"c{i}" for i in range(len(keep))]
     inner = docs.select("text", *[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)])
     schema = inner.select(*names).schema.add("lang_pred", "string").add("score", "double")
+    if gates is not None:
+        schema = schema.add("fits", "boolean")
 
     def run(it):
         languages, slots, false_rates = shared.value
@@ -131,23 +220,26 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFram
         for batch in it:
             texts = batch.column("text").to_pylist()
             data, offsets = text_bytes(batch.column("text"))
-            best, score = np.zeros(len(texts), np.int64), np.zeros(len(texts))
+            best, score, fits = np.zeros(len(texts), np.int64), np.zeros(len(texts)), np.ones(len(texts), bool)
             for a, b in batches(offsets) if languages else []:
                 h, bounds = _grams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 n = np.diff(bounds)
                 full = np.flatnonzero(n)
                 if not len(full):
                     continue
-                answer = np.bitwise_and.reduce([slots[s] for s in _spots(h)])
+                answer = _answers(slots, h)
                 found = np.stack([np.add.reduceat(((answer >> kind(k)) & kind(1)).astype(np.int32), bounds[:-1][full]) for k in range(len(languages))], 1)
                 share = np.clip((found / n[full][:, None] - false_rates) / (1 - false_rates), 0, 1)
                 best[a + full], score[a + full] = share.argmax(1), share.max(1)
+                if gates is not None:
+                    fits[a + full] = share.max(1) >= gates[np.minimum(np.log2(n[full]).astype(np.int64), SIZES - 1)]
             letters = [bool(languages) and has_letter(t) for t in texts]
             pred = [languages[k] if x else "und" for k, x in zip(best.tolist(), letters)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(pred, pa.string()), pa.array(np.where(letters, score, 0.0))], [*names, "lang_pred", "score"])
+            judged = [pa.array(pred, pa.string()), pa.array(np.where(letters, score, 0.0)), pa.array(fits)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *judged][: len(schema)], schema.names)
 
     out = inner.mapInArrow(run, schema)
-    return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], "lang_pred", "score")
+    return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], *schema.names[len(names) :])
 
 
 def held_out() -> Column:
@@ -155,15 +247,13 @@ def held_out() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 3 == 1
 
 
-def drop_unidentified(docs: DataFrame, least: float = REJECT_BELOW) -> DataFrame:
-    """``docs`` without rows that have no letters or whose text fits no learned language.
-
-    Texts under ``SHORT_BYTES`` hold too few n-grams to be rejected by their score.
-    """
+def drop_unidentified(docs: DataFrame) -> DataFrame:
+    """``docs`` without rows that have no letters or whose text fits no learned language."""
     model = learn(docs, ~held_out())
     known = [c for c in docs.columns if c != "text"]
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    judged = identify(docs.withColumn("__text", F.col("text")), model, [*known, "__text"])
-    kept = judged.where((F.col("lang_pred") != "und") & ((F.col("score") >= least) | (F.octet_length("__text") < SHORT_BYTES)))
+    gates = measure_gates(docs, model, held_out())
+    judged = identify(docs.withColumn("__text", F.col("text")), model, [*known, "__text"], gates)
+    kept = judged.where((F.col("lang_pred") != "und") & F.col("fits"))
     return kept.withColumnRenamed("__text", "text").select(*[F.col(f"`{c}`") for c in docs.columns])

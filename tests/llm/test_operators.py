@@ -182,6 +182,20 @@ def test_language(spark):
     assert {r.lang_pred for r in language.identify(docs, language.learn(docs.where("false"), F.lit(True)), ["doc_id"]).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("unlearned", ["en", "de"])
+def test_unlearned_language_is_dropped(spark, unlearned):
+    whole = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("was", F.col("lang"))
+    starts = whole.select((F.col("doc_id") + 10_000_000).alias("doc_id"), F.substring("text", 1, 50).alias("text"), F.lit(None).cast("string").alias("lang"), "was")
+    docs = whole.select("doc_id", "text", F.when(F.col("was") != unlearned, F.col("lang")).alias("lang"), "was").unionByName(starts)
+    size = F.octet_length("text") >= 64
+    letters = docs.where(F.col("text").rlike("[A-Za-z]{4}"))
+    for long, most, least in ((True, 0.02, 0.98), (False, 0.1, 0.95)):
+        of = {r.unlearned: r.n for r in letters.where(size == long).groupBy((F.col("was") == unlearned).alias("unlearned")).agg(F.count("*").alias("n")).collect()}
+        kept = {r.unlearned: r.n for r in language.drop_unidentified(docs).where(size == long).groupBy((F.col("was") == unlearned).alias("unlearned")).agg(F.count("*").alias("n")).collect()}
+        print(unlearned, long, of, kept)
+        assert kept.get(True, 0) <= most * of[True] and kept[False] >= least * of[False]
+
+
 def test_html():
     page = """<html><head><title>t</title><style>p{}</style></head><body><nav><a href="/x">Home</a></nav><div class="cookie-notice">We use cookies.</div>
     <article><h1>A &amp; B</h1><p>First   line<br>goes on</p><script>var a = "</p>";</script><p>Short.</p><form>Name<input></form><div class="comments"><p>Nice post</p></div></article>
