@@ -1,7 +1,7 @@
 """Language identification by n-gram filters that answer with a bitmask of languages.
 
-One bit-sliced Bloom filter serves all languages: each slot holds a mask with a bit per language, an
-n-gram's answer is the AND of its slots. A text's n-grams are counted per language, the counts corrected
+One bit-sliced Bloom filter serves all languages, however many: each slot holds a mask with a bit per language, in
+words of 64 bits, an n-gram's answer is the AND of its slots. A text's n-grams are counted per language, the counts corrected
 for the expected false positives of that language's slice, and the largest corrected share decides.
 
 Learning uses at most about ``LEARN_DOCS`` documents (chosen by a hash of their id, equal shares for each
@@ -34,7 +34,7 @@ LEAST_SHARE = 5e-5
 SLOTS = 1 << 19
 PROBES = 3
 GRAM = 4
-MOST_LANGUAGES = 64
+WORD = 64
 GATE_DOCS = 4_000
 #: Gates by the power of two of a text's n-grams.
 SIZES = 13
@@ -78,12 +78,10 @@ def learn(docs: DataFrame, allowed: Column) -> LanguageModel:
     """A model from the rows of ``docs(doc_id, text, lang)`` that ``allowed`` admits."""
     bound_batches(docs.sparkSession)
     labelled = docs.where(allowed & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES + 1).collect()}
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()}
     languages = list(counts)
     if not languages:
-        return LanguageModel([], np.zeros(SLOTS, U64), np.zeros(0), [], np.zeros((0, 0), bool))
+        return LanguageModel([], np.zeros((0, SLOTS), U64), np.zeros(0), [], np.zeros((0, 0), bool))
     each = LEARN_DOCS / len(languages)
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, each / n))])
     chosen = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
@@ -108,17 +106,16 @@ def learn(docs: DataFrame, allowed: Column) -> LanguageModel:
     tally = chosen.select("lang", "text").mapInArrow(count, "k int, gram bigint, n bigint").groupBy("k", "gram").agg(F.sum("n").alias("n"))
     totals = tally.groupBy("k").agg(F.sum("n").alias("total"))
     kept = tally.join(F.broadcast(totals), "k").where(F.col("n") >= F.greatest(F.lit(2.0), F.col("total") * LEAST_SHARE)).select("k", "gram").toPandas()
-    slots = np.zeros(SLOTS, U64)
-    grams = kept["gram"].to_numpy(np.int64).view(U64)
-    bits = U64(1) << kept["k"].to_numpy(np.int64).astype(U64)
+    slots = np.zeros((-(-len(languages) // WORD), SLOTS), U64)
+    grams, owner = kept["gram"].to_numpy(np.int64).view(U64), kept["k"].to_numpy(np.int64)
+    bits = U64(1) << (owner % WORD).astype(U64)
     for spot in _spots(grams):
-        np.bitwise_or.at(slots, spot, bits)
-    fill = np.array([((slots >> U64(k)) & U64(1)).mean() for k in range(len(languages))])
-    rates, owner = fill**PROBES, kept["k"].to_numpy()
+        np.bitwise_or.at(slots, (owner // WORD, spot), bits)
+    rates = np.array([_bit(slots, k).mean() for k in range(len(languages))]) ** PROBES
     alike = np.zeros((len(languages), len(languages)))
     for k in range(len(languages)):
         answer = _answers(slots, grams[owner == k])
-        alike[k] = [((answer >> U64(j)) & U64(1)).mean() if len(answer) else 0.0 for j in range(len(languages))]
+        alike[k] = [_bit(answer, j).mean() if answer.size else 0.0 for j in range(len(languages))]
     alike = (alike - rates) / np.maximum(1 - rates, 1e-9)
     kin = (np.maximum(alike, alike.T) >= KIN) | np.eye(len(languages), dtype=bool)
     return LanguageModel(languages, slots, rates, list(counts.values()), kin)
@@ -135,7 +132,12 @@ def _spots(grams: np.ndarray):
 
 
 def _answers(slots: np.ndarray, grams: np.ndarray) -> np.ndarray:
-    return np.bitwise_and.reduce([slots[s] for s in _spots(grams)])
+    """The masks (words x n-grams) of what ``slots`` says of each n-gram."""
+    return np.bitwise_and.reduce([slots[:, s] for s in _spots(grams)])
+
+
+def _bit(masks: np.ndarray, k: int) -> np.ndarray:
+    return (masks[k // WORD] >> masks.dtype.type(k % WORD)) & masks.dtype.type(1)
 
 
 def measure_gates(docs: DataFrame, model: LanguageModel, unseen: Column) -> np.ndarray:
@@ -163,7 +165,7 @@ def measure_gates(docs: DataFrame, model: LanguageModel, unseen: Column) -> np.n
                 answer, n, lang = _answers(slots, h), np.diff(bounds), own[a:b]
                 score = np.zeros((SIZES, b - a, len(kin)))
                 for k in range(len(kin)):
-                    hits = np.append(0, np.cumsum((answer >> U64(k)) & U64(1), dtype=np.int64))
+                    hits = np.append(0, np.cumsum(_bit(answer, k), dtype=np.int64))
                     for c in range(SIZES):
                         at = np.flatnonzero(n >= 1 << c)
                         start = bounds[:-1][at]
@@ -215,7 +217,7 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str], gates: np.n
 
     def run(it):
         languages, slots, false_rates = shared.value
-        kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if len(languages) <= np.dtype(k).itemsize * 8)
+        kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if min(len(languages), WORD) <= np.dtype(k).itemsize * 8)
         slots = slots.astype(kind)
         for batch in it:
             texts = batch.column("text").to_pylist()
@@ -228,7 +230,7 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str], gates: np.n
                 if not len(full):
                     continue
                 answer = _answers(slots, h)
-                found = np.stack([np.add.reduceat(((answer >> kind(k)) & kind(1)).astype(np.int32), bounds[:-1][full]) for k in range(len(languages))], 1)
+                found = np.stack([np.add.reduceat(_bit(answer, k).astype(np.int32), bounds[:-1][full]) for k in range(len(languages))], 1)
                 share = np.clip((found / n[full][:, None] - false_rates) / (1 - false_rates), 0, 1)
                 best[a + full], score[a + full] = share.argmax(1), share.max(1)
                 if gates is not None:

@@ -196,6 +196,16 @@ def test_unlearned_language_is_dropped(spark, unlearned):
         assert kept.get(True, 0) <= most * of[True] and kept[False] >= least * of[False]
 
 
+def test_more_languages_than_a_word(spark):
+    rng = random.Random(6)
+    own = {f"l{k:02}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(12)] for k in range(70)}
+    rows = [(100 * k + i, " ".join(rng.choice(own[lang]) for _ in range(40)), lang) for k, lang in enumerate(own) for i in range(8)]
+    docs = documents(spark, rows)
+    judged = language.identify(docs, language.learn(docs, ~language.held_out()), ["doc_id", "lang"]).collect()
+    assert len(judged) == len(rows) and all(r.lang_pred == r.lang for r in judged)
+    assert language.drop_unidentified(docs).count() == len(rows)
+
+
 def test_html():
     page = """<html><head><title>t</title><style>p{}</style></head><body><nav><a href="/x">Home</a></nav><div class="cookie-notice">We use cookies.</div>
     <article><h1>A &amp; B</h1><p>First   line<br>goes on</p><script>var a = "</p>";</script><p>Short.</p><form>Name<input></form><div class="comments"><p>Nice post</p></div></article>
