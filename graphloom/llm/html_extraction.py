@@ -1,10 +1,11 @@
 """Main text of web pages by the distribution of text over line blocks.
 
-Markup is stripped into lines, one for each block element. Lines of boilerplate containers, and outside an
-article lines that are mostly links, count no characters. Character counts are summed over windows of
-``LINES`` lines; text begins where the sum surges over a threshold and ends where it dives to nothing. Where
-the page marks its article, the lines outside count nothing and any text inside is a surge; else the
-sum must pass ``SURGE`` characters, and of several stretches those with a quarter of the longest's text stay.
+Markup is stripped into lines, one for each block element. Lines of boilerplate containers are left out as if
+they were not there, so an advert does not part the text around it; outside an article lines that are mostly
+links count no characters. Character counts are summed over windows of ``LINES`` lines; a stretch of text lies
+between windows of nothing and is kept whole, with its short first and last lines, where some sum surges over a
+threshold. Where the page marks its article, the lines outside count nothing and any text inside is a surge; else
+the sum must pass ``SURGE`` characters. No stretch is judged by the length of another.
 
 Odd input: null and empty pages have empty text; unclosed elements end with their parent, cut-off markup at
 the end is dropped; rows are judged one by one, so repeated rows and clashing column names change nothing.
@@ -23,7 +24,6 @@ from ..plans import bound_batches
 
 LINES = 3
 SURGE = 80
-LEAST_PART = 0.25
 # Element names of HTML and words that page templates use in class and id.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody tfoot thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -131,31 +131,20 @@ def main_text(page: str | None) -> list[str]:
     """The blocks of the page's main text."""
     lines = lines_of(page or "")
     marked = any(a and t and not d for t, _, d, a in lines)
-    texts, counts = [], []
-    was = False
-    for t, linked, d, a in lines:
-        skip = d or marked and not a or not marked and 2 * linked > len(t)
-        if d and not was and not marked:
-            texts += [""] * LINES
-            counts += [0] * LINES
-        was = d
-        if t:
-            texts.append(t)
-            counts.append(0 if skip else len(t))
+    lines = [x for x in lines if x[0] and not x[2]]
+    counts = [0 if marked and not a or not marked and 2 * linked > len(t) else len(t) for t, linked, _, a in lines]
     sums = [sum(counts[i : i + LINES]) for i in range(len(counts))]
-    stretches, i = [], 0
     least = SURGE if not marked and any(s > SURGE for s in sums) else 0
+    kept: list[str] = []
+    i = 0
     while i < len(sums):
-        if sums[i] > least:
-            j = i
-            while j < len(sums) and sums[j]:
-                j += 1
-            own = [t for t, n in zip(texts[i:j], counts[i:j]) if n]
-            stretches.append((sum(map(len, own)), own))
-            i = j
-        i += 1
-    most = max((n for n, _ in stretches), default=0)
-    return [t for n, own in stretches if marked or n >= LEAST_PART * most for t in own]
+        j = i
+        while j < len(sums) and sums[j]:
+            j += 1
+        if max(sums[i:j], default=0) > least:
+            kept += [x[0] for x, n in zip(lines[i:j], counts[i:j]) if n]
+        i = j + 1
+    return kept
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -216,6 +216,22 @@ def test_html():
     assert html_extraction.main_text(None) == html_extraction.main_text("") == []
 
 
+def test_html_without_marked_article():
+    def page(*blocks):
+        menu = "<div><a href=/a>Home</a></div><div><a href=/b>News of today</a></div><div><a href=/c>Contact</a></div>"
+        return f"<body>{menu}{''.join(blocks)}{menu}</body>"
+
+    def p(n):
+        return f"<p>{'x' * n}</p>"
+
+    ad = '<div class="ad"><p>Buy this now</p><p>or that</p></div>'
+    assert [len(t) for t in html_extraction.main_text(page(p(900), p(800), p(700), ad, p(300), p(200)))] == [900, 800, 700, 300, 200]
+    assert [len(t) for t in html_extraction.main_text(page(p(900), ad, p(70)))] == [900, 70]
+    assert [len(t) for t in html_extraction.main_text(page(f"<h1>{'h' * 20}</h1>", p(15), p(16), p(400)))] == [20, 15, 16, 400]
+    links = "".join(f"<p><a href=/{i}>More of this</a></p>" for i in range(4))
+    assert [len(t) for t in html_extraction.main_text(page(p(4000), links, p(30), p(100)))] == [4000, 30, 100]
+
+
 def test_urls(spark):
     urls = [None, "no scheme/porn", "http://A.Example.com/en/7?x", "https://x.com/en/1#a", "http://free-bets.example.net/de/80", "http://x.org/sexton/", "http://a.b/track/ads", "http://ads.ads/"]
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, verdict string")
