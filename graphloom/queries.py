@@ -141,25 +141,25 @@ _TREE = _with(
 _TREE_SQL = _TREE + "select k.src, k.dst, cast(k.weight as double) as weight from k join low on low.s = k.src and low.d = k.dst and low.r = k.r"
 
 
-def _small_undirected(spark: SparkSession, sf: str):
-    rows = T.table_rows(spark, sf, T.TRADE_SMALL)
+def _undirected(spark: SparkSession, sf: str, sql: str):
+    rows = T.table_rows(spark, sf, sql)
     once = rows.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.min("weight").alias("weight"))
     return T.Graph.from_edges(once, False, True)
 
 
 @query(_TREE_SQL)
 def kruskals(spark: SparkSession, sf: str) -> DataFrame:
-    return mst.kruskals(_small_undirected(spark, sf)).select("src", "dst", "weight")
+    return mst.kruskals(_undirected(spark, sf, T.TRADE_SMALL)).select("src", "dst", "weight")
 
 
 @query(_TREE_SQL)
 def prims(spark: SparkSession, sf: str) -> DataFrame:
-    return mst.prims(_small_undirected(spark, sf)).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "weight")
+    return mst.prims(_undirected(spark, sf, T.TRADE_SMALL)).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "weight")
 
 
 @query()
 def compare_mst(spark: SparkSession, sf: str) -> DataFrame:
-    return mst.compare_mst_algorithms(_small_undirected(spark, sf))
+    return mst.compare_mst_algorithms(_undirected(spark, sf, T.TRADE_SMALL))
 
 
 @query(_with(T.SUPPLIER_PART, BOTH, NODES, "r as (select id, id as c from v union select a.dst, r.c from r join adj a on a.src = r.id)", "l as (select id, min(c) as c from r group by 1)") + "select p.src, p.dst, a.c = b.c as connected from (select src, lead(src) over (order by src) as dst from (select distinct src from e)) p join l a on a.id = p.src join l b on b.id = p.dst")
@@ -190,6 +190,44 @@ def max_flow_edges(spark: SparkSession, sf: str) -> DataFrame:
     return flows.ford_fulkerson(T.table_graph(spark, sf, T.TRADE_SMALL, directed=True), 0, 11)[1]
 
 
+# The same six on the whole trade graph, all nations; the flows have no SQL.
+def _whole(spark: SparkSession, sf: str):
+    return T.table_graph(spark, sf, T.TRADE, directed=True)
+
+
+@query()
+def trade_max_flow(spark: SparkSession, sf: str) -> DataFrame:
+    return flows.ford_fulkerson(_whole(spark, sf), 0, 11)[0]
+
+
+@query()
+def trade_min_cut(spark: SparkSession, sf: str) -> DataFrame:
+    return flows.min_cut(_whole(spark, sf), 0, 11)[0]
+
+
+@query()
+def trade_max_flow_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return flows.ford_fulkerson(_whole(spark, sf), 0, 11)[1]
+
+
+_WHOLE_TREE_SQL = _TREE_SQL.replace(T.TRADE_SMALL, T.TRADE)
+
+
+@query(_WHOLE_TREE_SQL)
+def trade_kruskals(spark: SparkSession, sf: str) -> DataFrame:
+    return mst.kruskals(_undirected(spark, sf, T.TRADE)).select("src", "dst", "weight")
+
+
+@query(_WHOLE_TREE_SQL)
+def trade_prims(spark: SparkSession, sf: str) -> DataFrame:
+    return mst.prims(_undirected(spark, sf, T.TRADE)).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "weight")
+
+
+@query()
+def trade_compare_mst(spark: SparkSession, sf: str) -> DataFrame:
+    return mst.compare_mst_algorithms(_undirected(spark, sf, T.TRADE))
+
+
 @query()
 def hopcroft_karp(spark: SparkSession, sf: str) -> DataFrame:
     g = T.table_graph(spark, sf, T.CUSTOMER_SUPPLIER)

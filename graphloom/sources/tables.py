@@ -16,6 +16,7 @@ _TRADE = """select cast(s_nationkey as bigint) as src, cast(c_nationkey as bigin
  where s_nationkey <> c_nationkey {also} group by 1, 2"""
 TRADE_TOP = f"""select src, dst, weight from (select *, row_number() over (partition by src order by weight desc, dst) as rn
  from ({_TRADE.format(also="")}) t) r where rn <= 3"""
+TRADE = _TRADE.format(also="")
 TRADE_SMALL = _TRADE.format(also="and s_nationkey < 12 and c_nationkey < 12")
 ORDER_CHAIN = """select o_orderkey as src, nx as dst, cast(round((np - o_totalprice) * 100) as bigint) as weight from (
  select o_orderkey, o_totalprice, lead(o_orderkey) over w as nx, lead(o_totalprice) over w as np from orders

@@ -132,3 +132,45 @@ def test_present(spark):
     s = spark.createDataFrame([("a", 1.0), ("b", 3.0), ("10", 3.0), ("9", 3.0)], "id string, score double")
     assert [r["id"] for r in present.ranked_lines(s, 3).orderBy("rank").collect()] == ["9", "10", "b"]
     assert {r["id"]: r["score"] for r in present.normalize_scores(s).collect()}["a"] == 0.0
+
+
+def test_flow_and_tree_of_the_whole_trade_graph(spark):
+    from graphloom import queries as Q
+    from graphloom.sources import tables as T
+
+    sf = "/root/testdata/sf0.01"
+    capacity = {(r.src, r.dst): r.weight for r in T.table_rows(spark, sf, T.TRADE).collect()}
+    nodes = {n for e in capacity for n in e}
+    assert len(nodes) == 25
+    left, reached = dict(capacity), 0
+    while True:
+        seen, queue = {0: None}, [0]
+        for a in queue:
+            for b in nodes - seen.keys():
+                if left.get((a, b), 0) > 0:
+                    seen[b] = a
+                    queue.append(b)
+        if 11 not in seen:
+            break
+        path, b = [], 11
+        while b:
+            path.append((seen[b], b))
+            b = seen[b]
+        step = min(left[e] for e in path)
+        for a, b in path:
+            left[a, b] -= step
+            left[b, a] = left.get((b, a), 0) + step
+        reached += step
+    assert reached == sum(w for (a, b), w in capacity.items() if a in seen and b not in seen)
+    assert Q.QUERIES["trade_max_flow"](spark, sf).first()[0] == Q.QUERIES["trade_min_cut"](spark, sf).first()[0] == reached
+    weight = {}
+    for (a, b), w in capacity.items():
+        weight[min(a, b), max(a, b)] = min(w, weight.get((min(a, b), max(a, b)), w))
+    root, want = {n: n for n in nodes}, set()
+    for (a, b), w in sorted(weight.items(), key=lambda x: (x[1], x[0])):
+        if root[a] != root[b]:
+            want.add((a, b, w))
+            old, new = root[b], root[a]
+            root = {n: new if r == old else r for n, r in root.items()}
+    for name in ("trade_kruskals", "trade_prims"):
+        assert {tuple(r) for r in Q.QUERIES[name](spark, sf).collect()} == want
