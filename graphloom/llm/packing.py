@@ -28,6 +28,9 @@ CACHE_WORDS = 400_000
 RUN_WORDS = 1000
 MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 TABLE = bytes(LOWER)
+#: Bytes: marks, letters and digits, white space, and second bytes of small accented Latin letters (after 0xC3).
+_SETS = {"end": b",.;:!?", "plain": b"abcdefghijklmnopqrstuvwxyz0123456789", "blank": b" \t\n\r\f\v", "accent": bytes(x for x in range(0xA0, 0xC0) if x != 0xB7)}
+_IS = {name: np.isin(np.arange(256), list(chars)) for name, chars in _SETS.items()}
 
 
 def _plain_end(word: bytes) -> bool:
@@ -36,28 +39,43 @@ def _plain_end(word: bytes) -> bool:
     return last.isalpha() and last.lower() == last
 
 
+def _words(text: str) -> list[bytes]:
+    """Lower-cased words; a lone mark that ends one after a letter or digit is a piece, and so a word, of its own."""
+    raw = np.frombuffer(b"  " + text.encode().translate(TABLE) + b" ", np.uint8)
+    ends = np.flatnonzero(_IS["end"][raw[:-1]])
+    ends = ends[_IS["blank"][raw[ends + 1]]]
+    ends = ends[_IS["plain"][raw[ends - 1]] | (raw[ends - 2] == 0xC3) & _IS["accent"][raw[ends - 1]]]
+    return np.insert(raw, ends, 32).tobytes().split()
+
+
 class WordCoder:
     """Exact ids of a tokenizer whose pieces never cross ASCII white space and that lower-cases.
 
-    Words are looked up in a bounded cache of packed little-endian ids; only new ones are encoded. A final
-    run of punctuation after a letter is a piece of its own and is cached apart; words of letters alone are one
-    piece each, so many are encoded as one text and told apart by their piece numbers.
+    Words are looked up in packed little-endian ids; only new ones are encoded. The cache holds two generations of
+    at most ``CACHE_WORDS``: when the young one is full it becomes the old one, and words that come again move over,
+    so frequent words stay. A final run of punctuation after a letter is a piece of its own and is cached apart;
+    words of letters alone are one piece each, so many are encoded as one text and told apart by their piece numbers.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache = Tokenizer.from_file(path), {}
+        self.tokenizer, self.cache, self.old = Tokenizer.from_file(path), {}, {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _known(self, words: set[bytes]) -> set[bytes]:
+        """Moves what the old generation knows of ``words`` to the young one; returns the rest."""
+        new = words.difference(self.cache)
+        again = new.intersection(self.old)
+        self.cache.update(zip(again, map(self.old.__getitem__, again)))
+        return new - again
+
     def _learn(self, words: set[bytes]) -> None:
-        if len(self.cache) + len(words) > CACHE_WORDS:
-            self.cache.clear()
         split, new = [], set()
-        for w in words:
+        for w in self._known(words):
             core = w.rstrip(MARKS)
             if len(core) == len(w) or not core or not (97 <= core[-1] <= 122 or core[-1] > 127 and _plain_end(core)):
                 new.add(w)
@@ -66,9 +84,8 @@ class WordCoder:
                 split.append((w, core, tail))
                 new.add(core)
                 new.add(tail)
-        new = new.difference(self.cache)
         letters, rest = [], []
-        for w in new:
+        for w in self._known(new):
             (letters if w.isalpha() or not w.isascii() and w.decode().isalpha() else rest).append(w)
         for first in range(0, len(letters), RUN_WORDS):
             run = letters[first : first + RUN_WORDS]
@@ -87,13 +104,11 @@ class WordCoder:
             self.cache[w] = self.cache[core] + self.cache[tail]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        words = [(t or "").encode().translate(TABLE).split() for t in texts]
         # Special tokens' strings are found in the raw text before it is cut into words.
-        words = [None if t and "<|" in t else w for t, w in zip(texts, words)]
-        wanted = set().union(*(w for w in words if w))
-        if len(self.cache) > CACHE_WORDS - len(wanted):
-            self.cache.clear()
-        self._learn(wanted.difference(self.cache))
+        words = [None if t and "<|" in t else _words(t or "") for t in texts]
+        if len(self.cache) > CACHE_WORDS:
+            self.cache, self.old = {}, self.cache
+        self._learn(set().union(*(w for w in words if w)))
         get = self.cache.__getitem__
         return [self._whole(t) if w is None else b"".join(map(get, w)) for t, w in zip(texts, words)]
 
