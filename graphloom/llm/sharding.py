@@ -1,24 +1,30 @@
 """Shards of nearly equal bytes: best-fit-decreasing bin packing of indivisible groups of equal texts.
 
-Groups above ``1 / (shards * HEAVY)`` of all bytes are items of their own (so there are fewer than
-``shards * HEAVY`` of them); the rest are dealt by their hash into ``CELLS`` cells that are packed like
-items. Both numbers are fixed, so the driver's work and the broadcast table do not grow with the data.
-Sizes are summed before the shuffle, which bounds the cost of a group that holds a third of all rows.
+The packing runs over a histogram of group sizes: a class of equally large groups enters the tightest bin that has
+room, as many as fit, then the next tightest, which is what best-fit decreasing does with the groups one by one.
+Groups then take the planned places by their rank within their size (ranks inside a written part, plus the parts
+before it). The driver and the broadcast plan hold a row for each distinct size and bin change; distinct sizes
+sum up to at most all bytes, so there are fewer than ``sqrt(2 * bytes)`` of them, however many groups there are.
+Sizes are summed before the shuffle, and rows join their groups under skew handling, which bounds the cost of a
+group that holds a third of all rows.
 
 Odd input: a null text is a group of size 8 per row (no bytes) and shares it with nothing but null and empty
-texts; rows that repeat an id are rows of their own; an empty table gives no rows.
+texts; rows that repeat an id are rows of their own; a very long text is one group, and if it is larger than a
+shard's share of all bytes the shards get its size; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from ..plans import Scratch
 
 SHARDS = 24
-HEAVY = 1000
-CELLS = 1 << 14
 ROW_BYTES = 8
 
 
@@ -87,63 +93,106 @@ class RoomTree:
         return best
 
 
-def best_fit_decreasing(items: list[tuple[int, int]], capacity: int, most: int | None = None) -> dict[int, int] | None:
-    """Bin of every (size, item), largest first into the tightest bin; None when over ``most`` bins are needed."""
-    tree, bins, out = RoomTree(), 0, {}
-    for size, item in sorted(items, key=lambda x: (-x[0], x[1])):
-        found = tree.tightest(size)
-        if not found:
-            if size > capacity or bins == most:
-                return None
-            found, bins = (capacity, bins), bins + 1
-        tree.add(found[0] - size, found[1])
-        out[item] = found[1]
+def best_fit_decreasing(classes: list[tuple[int, int]], capacity: int, most: int) -> list[tuple[int, int, int]] | None:
+    """Runs (size, first rank, bin) from (size, count) in falling order of size; None when over ``most`` bins are needed.
+
+    A run lasts to the next one of its size.
+    """
+    tree, bins, out = RoomTree(), 0, []
+    for size, count in classes:
+        rank = 0
+        while rank < count:
+            found = tree.tightest(size)
+            if not found:
+                if size > capacity or bins == most:
+                    return None
+                found, bins = (capacity, bins), bins + 1
+            take = min(count - rank, found[0] // size)
+            out.append((size, rank, found[1]))
+            rank += take
+            tree.add(found[0] - take * size, found[1])
     return out
 
 
-def even_bins(items: list[tuple[int, int]], shards: int) -> dict[int, int]:
-    """The packing of least capacity (to one part in 200,000 of the mean) that needs no more than ``shards`` bins."""
-    if not items:
-        return {}
-    low = max(max(s for s, _ in items), -(-sum(s for s, _ in items) // shards))
-    if found := best_fit_decreasing(items, low, shards):
-        return found
+def even_bins(counts: dict[int, int], shards: int) -> list[tuple[int, int, int]]:
+    """The runs of least capacity (to one part in 200,000 of the mean) that need no more than ``shards`` bins."""
+    classes = sorted(counts.items(), reverse=True)
+    if not classes:
+        return []
+    low = max(classes[0][0], -(-sum(s * n for s, n in classes) // shards))
     step = max(1, low // 200_000)
-    found, width = None, step
-    while found is None:
-        found, width = best_fit_decreasing(items, low + width, shards), width * 2
-    bad, good = width // 4, width // 2
-    while good - bad > step:
+    tried = {0: best_fit_decreasing(classes, low, shards)}
+    width = 0
+    while tried[width] is None:
+        width = max(step, 2 * width)
+        tried[width] = best_fit_decreasing(classes, low + width, shards)
+    bad, good = width // 2, width
+    while width and good - bad > step:
         mid = (good + bad) // 2
-        if tried := best_fit_decreasing(items, low + mid, shards):
-            found, good = tried, mid
-        else:
-            bad = mid
-    return found
+        tried[mid] = best_fit_decreasing(classes, low + mid, shards)
+        bad, good = (bad, mid) if tried[mid] is not None else (mid, good)
+    return tried[good]
+
+
+def _ranked(df: DataFrame, by: str) -> DataFrame:
+    """``df`` with the part it is computed in and each row's rank among those of the part with the same ``by``.
+
+    Ranks hold only where the result is written at once.
+    """
+    names = df.columns
+
+    def run(it):
+        own, seen = TaskContext.get().partitionId(), {}
+        for batch in it:
+            keys, which = np.unique(batch.column(by).to_numpy(), return_inverse=True)
+            order = np.argsort(which, kind="stable")
+            sizes = np.bincount(which, minlength=len(keys))
+            nth = np.empty(len(which), np.int64)
+            nth[order] = np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            nth += np.array([seen.get(k, 0) for k in keys.tolist()], np.int64)[which] if len(keys) else 0
+            for k, n in zip(keys.tolist(), sizes.tolist()):
+                seen[k] = seen.get(k, 0) + n
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(which), own, np.int32)), pa.array(nth)], [*names, "part", "nth"])
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField("part", IntegerType()), StructField("nth", LongType())]))
+
+
+def _with_rank(ranked: DataFrame, by: str, name: str) -> DataFrame:
+    """Ranks within ``by`` over all parts. Only sums for each part and value of ``by`` are ordered."""
+    sums = ranked.groupBy("part", by).agg((F.max("nth") + 1).alias("n"))
+    before = F.sum("n").over(Window.partitionBy(by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select("part", by, F.coalesce(before, F.lit(0)).alias("before"))
+    return ranked.join(sums, ["part", by]).withColumn(name, F.col("before") + F.col("nth")).drop("before", "nth", "part")
+
+
+def _planned(groups: DataFrame, plan: list[tuple[int, int, int]]) -> DataFrame:
+    """(group, shard) of groups (group, bytes, rank)."""
+    shared = groups.sparkSession.sparkContext.broadcast(np.array(sorted(plan), np.int64).reshape(-1, 3))
+
+    def run(it):
+        size, rank, shard = shared.value.T
+        sizes, number = np.unique(size, return_inverse=True)
+        keys = (number << 40) | rank
+        for batch in it:
+            own, nth = batch.column("bytes").to_numpy(), batch.column("rank").to_numpy()
+            # Runs are in order of (size, rank): classes by number, ranks as the smaller part of one key.
+            at = np.searchsorted(keys, (np.searchsorted(sizes, own) << 40) | nth, "right") - 1
+            yield pa.RecordBatch.from_arrays([batch.column("group"), pa.array(shard[at].astype(np.int32))], ["group", "shard"])
+
+    return groups.mapInArrow(run, "group binary, shard int")
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every row."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "shards")
+    scratch = Scratch(docs.sparkSession, "shards")
     text = F.coalesce("text", F.lit(""))
-    base = docs.select(
-        F.col("doc_id").cast("long"), (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
-        F.unhex(F.md5(text)).alias("group"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("nth"),
-    )
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.md5(text)).alias("group"))
     base = scratch.save(base, "rows")
-    total = base.agg(F.sum("size")).first()[0] or 0
-    groups = base.groupBy("group").agg(F.sum("size").alias("bytes"))
-    heavy = [(r["group"], r["bytes"]) for r in groups.where(F.col("bytes") * shards * HEAVY > F.lit(total)).collect()]
-    cell = F.pmod(F.xxhash64("group"), F.lit(CELLS)).cast("int")
-    large = spark.createDataFrame([(bytes(g), CELLS + i) for i, (g, _) in enumerate(sorted(heavy))], "group binary, own int")
-    placed = base.join(F.broadcast(large), "group", "left").withColumn("item", F.coalesce("own", cell)).drop("own", "group")
-    sizes = placed.groupBy("item").agg(F.sum("size").alias("bytes")).collect()
-    boxes = even_bins([(r["bytes"], r["item"]) for r in sizes], shards)
-    table = spark.createDataFrame(list(boxes.items()), "item int, shard int")
-    placed = placed.join(F.broadcast(table), "item")
-    counts = placed.groupBy("shard", "part").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    nth = F.row_number().over(Window.partitionBy("part", "shard").orderBy("nth"))
-    out = placed.withColumn("local", nth).join(counts.select("shard", "part", before.alias("before")), ["shard", "part"])
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("local") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    groups = scratch.save(_ranked(base.groupBy("group").agg(F.sum("size").alias("bytes")), "bytes"), "groups")
+    counts = groups.groupBy("bytes").agg(F.count("*").alias("n")).toArrow().to_pydict()
+    plan = even_bins(dict(zip(counts["bytes"], counts["n"])), shards)
+    owner = scratch.save(_planned(_with_rank(groups, "bytes", "rank").select("group", "bytes", "rank"), plan), "owners")
+    placed = scratch.save(_ranked(base.join(owner, "group").drop("group"), "shard"), "placed")
+    scratch.keep("placed")
+    out = _with_rank(placed, "shard", "slot")
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

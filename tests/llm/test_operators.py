@@ -120,7 +120,42 @@ def test_shards_keep_groups_and_are_even(spark, texts):
         slots[r.shard].append(r.slot)
         groups[r.text_crc32].add(r.shard)
     assert set(slots) <= set(range(24)) and all(sorted(s) == list(range(len(s))) for s in slots.values()) and all(len(g) == 1 for g in groups.values())
+    loads, sizes = Counter(), Counter()
+    for r in got:
+        loads[r.shard] += r.size
+        sizes[r.text_crc32] += r.size
+    assert max(loads.values()) == max(sizes.values())  # a group larger than the mean: no shard needs more
     assert sharding.shard_documents(documents(spark, [])).count() == 0
+    even = documents(spark, [(i, "word " * (i % 97 + 1) + str(i)) for i in range(5000)])
+    loads = [r.n for r in sharding.shard_documents(even).groupBy("shard").agg(F.sum("size").alias("n")).collect()]
+    assert len(loads) == 24 and max(loads) <= 1.001 * sum(loads) / 24
+
+
+def plain_best_fit(sizes, capacity):
+    """Rooms left when items in falling order of size enter the tightest bin, one by one."""
+    rooms = []
+    for size in sorted(sizes, reverse=True):
+        fits = [k for k, r in enumerate(rooms) if r >= size]
+        if fits:
+            rooms[min(fits, key=lambda k: rooms[k])] -= size
+        else:
+            rooms.append(capacity - size)
+    return sorted(rooms)
+
+
+def test_best_fit_over_a_histogram_equals_plain_best_fit():
+    rng = random.Random(9)
+    for _ in range(60):
+        counts = Counter(rng.randint(1, rng.choice([8, 40, 300])) for _ in range(rng.randint(1, 200)))
+        capacity = max(counts) + rng.randrange(200)
+        runs = sharding.best_fit_decreasing(sorted(counts.items(), reverse=True), capacity, 10**6)
+        rooms, last = Counter(), {}
+        for k, (size, rank, box) in enumerate(runs):
+            stop = runs[k + 1][1] if k + 1 < len(runs) and runs[k + 1][0] == size else counts[size]
+            assert rank == last.get(size, 0) < stop
+            last[size] = stop
+            rooms[box] += size * (stop - rank)
+        assert last == dict(counts) and sorted(capacity - n for n in rooms.values()) == plain_best_fit(counts.elements(), capacity)
 
 
 def test_tree_gives_the_tightest_bin():
