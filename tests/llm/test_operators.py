@@ -267,6 +267,52 @@ def test_html_without_marked_article():
     assert [len(t) for t in html_extraction.main_text(page(p(4000), links, p(30), p(100)))] == [4000, 30, 100]
 
 
+def plain_line_blocks(lines):
+    """Lines (text, count) between dives around which some window surges, written out over windows."""
+    n, windows = len(lines), [sum(c for _, c in lines[i : i + 3]) for i in range(len(lines))]
+    surge, part, kept = min(80, max(windows, default=0)), [None] * n, []
+    for i in range(n):
+        part[i] = i if windows[i] and (i == 0 or not windows[i - 1]) else part[i - 1] if windows[i] else None
+    for p in sorted({p for p in part if p is not None}):
+        own = [i for i in range(n) if part[i] == p]
+        if any(windows[i] >= surge for i in own):
+            counted = [i for i in own if lines[i][1]]
+            kept += [lines[i][0] for i in range(counted[0], counted[-1] + 1) if lines[i][0]]
+    return kept
+
+
+def test_html_table_against_plain_line_blocks(spark):
+    rng = random.Random(31)
+    block = lambda: rng.choice([f"<p>{'w' * rng.choice([3, 20, 90, 400])}</p>", "<div><a href=/x>link text here</a></div>", "<ul><li><a href=/>a</a></li><li>b</li></ul>", "<hr>", "<div class='ad'><p>buy</p></div>", "<p>t &amp; <b>u</b>"])
+    pages = []
+    for k in range(300):
+        body = "".join(block() for _ in range(rng.randint(0, 14)))
+        pages.append((k, f"http://x/{k}", body if k % 3 else f"{body}<article>{''.join(block() for _ in range(rng.randint(0, 9)))}</article>{body}"))
+    pages += [(900, None, None), (901, "u", ""), (902, "u", "<p>once"), (902, "u", "<p>once"), (None, "u", "<article>x</article>"), (903, "u", "<article><p>" + "long words " * 300_000 + "</p></article>")]
+    table = spark.createDataFrame([(*r, "clash", 1) for r in pages], "page_id long, url string, html string, text string, n_chars long")
+    got = html_extraction.extract(table).collect()
+    assert sorted((r.page_id is None, r.page_id, r.url or "", r.text) for r in got if r.page_id is not None) == sorted((False, k, u or "", "\n\n".join(plain_line_blocks(html_extraction.weighed(h)))) for k, u, h in pages if k is not None)
+    assert [r.text for r in got if r.page_id is None] == ["x"] and all(r.n_chars == len(r.text) for r in got)
+    assert {len(r.text) for r in got if r.page_id == 903} == {len("long words ") * 300_000 - 1}
+    assert html_extraction.extract(table.where("false")).count() == 0
+
+
+def test_html_names_and_depth():
+    import time
+
+    page = lambda x: f"<body><div class=menu>Home</div><article><p>{'a' * 300}</p>{x}<p>{'b' * 200}</p></article></body>"
+    inner = lambda x: html_extraction.main_text(page(x))[1:-1]
+    for kept in ('<div class="related-work">Work</div>', '<section id="notice-of-results">Work</section>', '<p class="tags">Work</p>', "<p><math><mi>Work</mi></math></p>", "<p><svg><text>Work</text></svg></p>", "<p><object>Work</object></p>", "<p><a href=/>Work</a></p>", "<p>Wo<span class=ad>Buy</span>rk</p>"):
+        assert inner(kept) == ["Work"], kept
+    for gone in ('<div class="ad-banner">Buy</div>', '<div class="relatedPosts">More</div>', '<p class="notice">We</p>', '<ul><li class="comment">Me<li class="comment">You</ul>', '<section id="comments"><p>Hi</p></section>', "<button>Share</button>", "<p class=advert>Buy"):
+        assert inner(gone) == [], gone
+    deep, began = "<div>" * 20_000 + "text" + "</div>" * 20_000, time.process_time()
+    assert html_extraction.main_text(deep) == ["text"] and time.process_time() - began < 1.5
+    # Without a marked article a link paragraph between paragraphs stays, and text far from it that surges does too.
+    free = f"<body><p>{'a' * 300}</p><p><a href=/>Read all of it</a></p><p>{'b' * 90}</p></body>"
+    assert [len(x) for x in html_extraction.main_text(free)] == [300, 14, 90]
+
+
 def test_urls(spark):
     urls = [None, "no scheme/porn", "http://A.Example.com/en/7?x", "https://x.com/en/1#a", "http://free-bets.example.net/de/80", "http://x.org/sexton/", "http://a.b/track/ads", "http://ads.ads/"]
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, verdict string")
@@ -295,6 +341,66 @@ def test_tool_calls(spark):
     assert tool_calls.link_tool_calls(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def plain_levels(needs):
+    """Longest chain below each call, two for each step; None on and above cycles."""
+    level, left = {c: 0 for c, on in needs.items() if not on}, True
+    while left:
+        left = {c: 2 + max(level[o] for o in on) for c, on in needs.items() if c not in level and all(o in level for o in on)}
+        level |= left
+    return {c: level.get(c) for c in needs}
+
+
+def test_tool_calls_against_plain_python(spark):
+    import json
+
+    rng, rows, want = random.Random(21), [], {}
+    for conv in range(12):
+        names = [f"c{k}" for k in range(rng.choice([1, 5, 30]))]
+        if conv == 11:
+            names = [f"c{k}" for k in range(150)]
+        for k, name in enumerate(names):
+            needs = [names[k - 1]] if conv == 11 and k else [rng.choice(names[: k + (conv % 4 == 0)] or names) for _ in range(rng.choice([0, 1, 1, 3]))] if conv < 11 else []
+            want[conv, name] = sorted({n for n in needs} if conv % 4 == 0 else {n for n in needs if n != name})
+            needs = want[conv, name] + ["elsewhere"] * (conv == 3)
+            arguments = rng.choice([{"query": "q"}, '{"query": "q", "limit": 2}', {"limit": 1.5}, "no json", [1], {"query": 1, "z": None}, None])
+            rows.append((conv, 2 * k, "assistant", json.dumps({"tool_calls": [{"id": name, "name": "search", "arguments": arguments, "depends_on": needs}], "content": "c"})))
+            if k % 3:
+                rows.append((conv, 2 * k + 1, "tool", json.dumps({"tool_call_id": name, "content": k})))
+    copies = rng.sample(rows, 25)
+    rows += copies
+    rows += [(None, 1, "assistant", '{"tool_calls":[{"id":"c0","name":"search","arguments":{"query":"q"}}]}'), (5, None, "assistant", '{"tool_calls":[{"id":"late","name":"nope","arguments":{}}]}'), (5, 900, "assistant", '{"tool_calls":[{"id":"c0","name":"search","arguments":{"query":"again"}}]}')]
+    table = spark.createDataFrame([(*r, 1, "x", 2) for r in rows], "conv_id long, turn long, role string, text string, level int, errors string, needs int")
+    got = tool_calls.link_tool_calls(table).collect()
+    counts = Counter((r.conv_id, r.turn, r.place) for r in got if r.kind == "call")
+    assert counts == Counter((c, t, 0) for c, t, role, _ in rows if role == "assistant")
+    levels = plain_levels({k: [(k[0], n) for n in on] for k, on in want.items()})
+    for r in (r for r in got if r.kind == "call"):
+        if r.conv_id is None:
+            assert r.errors == "no conversation; no result" and not r.linked and r.topo_level is None
+        elif r.call_id == "late":
+            assert r.errors == "no result; unknown tool" and not r.valid
+        elif r.turn == 900:
+            assert "duplicate id" in r.errors and not r.linked
+        else:
+            key, k = (r.conv_id, r.call_id), r.turn // 2
+            body = json.loads(r.canonical)
+            assert r.topo_level == levels[key] and ("cycle" in r.errors) == (levels[key] is None)
+            assert r.linked == bool(k % 3) and ("no result" in r.errors) == (not k % 3)
+            a = body["arguments"]
+            bad = {"missing query"} if isinstance(a, dict) and "query" not in a else set()
+            if isinstance(a, dict):
+                bad |= {"not a integer: limit"} if a.get("limit") == 1.5 else set()
+                bad |= {"not a string: query", "unknown z"} if "z" in a else set()
+            else:
+                bad = {"arguments are no object", "missing query"}
+                assert a in (None, "no json", [1])
+            assert set(r.errors.split("; ")) - {"cycle", "no result", ""} == bad and r.valid == (not bad)
+    assert max(x for x in levels.values() if x is not None) == 298 and None in levels.values()
+    results = [r for r in got if r.kind == "result"]
+    assert len(results) == sum(role == "tool" for _, _, role, _ in rows)
+    assert all(r.linked and (levels[r.conv_id, r.call_id] is None) == (r.topo_level is None) and r.topo_level in (None, 1 + (levels[r.conv_id, r.call_id] or 0)) for r in results)
+
+
 def test_pipeline_keeps_columns(spark):
     import corpus_pipeline
 
