@@ -466,3 +466,27 @@ def test_pipeline_of_odd_and_empty_tables(spark, texts):
         rows = docs.collect()
         assert all(r.offset >= 0 and 0 < r.length <= 2048 for r in rows)
     assert rows == []
+
+
+def test_repeated_words_need_little_memory(spark):
+    import tracemalloc
+
+    rng = random.Random(17)
+    one = np.zeros(20_000, np.uint64)
+    tracemalloc.start()
+    p, q, n = decontamination.diagonals(one, np.arange(len(one)), one[:396])
+    found = decontamination.tiles(p, q, n + 4, 5)
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+    assert len(p) == len(one) + 395 and found == [(0, 0, 400)]
+    for _ in range(200):  # small alphabets: steps of any size give the runs of single comparisons
+        text, item = (np.array([rng.randrange(3) for _ in range(rng.randrange(1, 40))], np.uint64) for _ in range(2))
+        same = {(i, j) for i in range(len(text)) for j in range(len(item)) if text[i] == item[j]}
+        runs = {(i, j, next(k for k in range(50) if (i + k, j + k) not in same)) for i, j in same if (i - 1, j - 1) not in same}
+        got = decontamination.diagonals(text, np.arange(len(text)), item, rng.choice([1, 7, 1000]))
+        assert set(zip(*(x.tolist() for x in got))) == runs
+    docs = documents(spark, [(1, "na " * 2000), (2, "\u201cNa\u2014na\u201d, NA na \u00c9t\u00e9\u2026 na na na"), (3, None)])
+    bench = spark.createDataFrame([*[(i, "na " * 400) for i in range(20)], (40, "na na na na \u00e9t\u00e9 na na na"), (41, "")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.leaks(docs, bench).collect()}
+    assert got == {*((1, i) for i in range(20)), (2, 40)}
+    assert decontamination.leaks(docs.where("false"), bench).count() == 0
