@@ -38,7 +38,7 @@ class NearRule:
     bands: int = 24
     rows: int = 4
     sketch_bits: int = 1024
-    block: int = 4096
+    block: int = 2048
     block_items: int = 1 << 20
 
     @property
