@@ -13,7 +13,9 @@ two measured distributions: scores of labelled documents that were not learned,
 with their own language (and its kin, such as ``en-US`` of ``en``) left out; starts of them stand for short texts.
 
 Odd input: null texts and texts without a letter are ``und`` with score 0; with nothing to learn from every
-text is ``und``; a text that matches no n-gram gets the most frequent language with score 0.
+text is ``und``; a text that matches no n-gram gets the most frequent language with score 0; rows that repeat are
+judged alike and all stay; very long texts are judged whole; an empty table gives no rows; other columns, whatever
+their names, are ignored or kept.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ..plans import bound_batches
 from .kernels import LANES, U64, batches, gram_hashes, mix, text_bytes
@@ -202,46 +205,53 @@ def _gate(inside: np.ndarray, outside: np.ndarray) -> float:
     return best[len(best) // 2] / STEPS
 
 
-def identify(docs: DataFrame, model: LanguageModel, keep: list[str], gates: np.ndarray | None = None) -> DataFrame:
-    """``keep`` columns of ``docs`` with lang_pred and score from ``text`` alone, and with ``gates`` whether it ``fits``.
+def _judge(languages: list[str], slots: np.ndarray, false_rates: np.ndarray, column: pa.Array, gates: np.ndarray | None) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score and whether it passes its gate of every text of a batch."""
+    texts = column.to_pylist()
+    data, offsets = text_bytes(column)
+    best, score, fits = np.zeros(len(texts), np.int64), np.zeros(len(texts)), np.ones(len(texts), bool)
+    for a, b in batches(offsets) if languages else []:
+        h, bounds = _grams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        n = np.diff(bounds)
+        full = np.flatnonzero(n)
+        if not len(full):
+            continue
+        answer = _answers(slots, h)
+        found = np.stack([np.add.reduceat(_bit(answer, k).astype(np.int32), bounds[:-1][full]) for k in range(len(languages))], 1)
+        share = np.clip((found / n[full][:, None] - false_rates) / (1 - false_rates), 0, 1)
+        best[a + full], score[a + full] = share.argmax(1), share.max(1)
+        if gates is not None:
+            fits[a + full] = share.max(1) >= gates[np.minimum(np.log2(n[full]).astype(np.int64), SIZES - 1)]
+    letters = [bool(languages) and has_letter(t) for t in texts]
+    return [languages[k] if x else "und" for k, x in zip(best.tolist(), letters)], np.where(letters, score, 0.0), fits
 
-    Texts too short for a single n-gram fit.
-    """
+
+def _narrowed(slots: np.ndarray, languages: list[str]) -> np.ndarray:
+    """``slots`` in the smallest words that hold a bit for each language."""
+    kinds = (np.uint8, np.uint16, np.uint32, np.uint64)
+    return slots.astype(next(k for k in kinds if min(len(languages), WORD) <= np.dtype(k).itemsize * 8))
+
+
+def _renamed(docs: DataFrame, columns: list[str]) -> DataFrame:
+    return docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)])
+
+
+def identify(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFrame:
+    """``keep`` columns of ``docs`` with lang_pred and score from ``text`` alone."""
     bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.slots, model.false_rates))
-    names = [f"c{i}" for i in range(len(keep))]
-    inner = docs.select("text", *[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)])
-    schema = inner.select(*names).schema.add("lang_pred", "string").add("score", "double")
-    if gates is not None:
-        schema = schema.add("fits", "boolean")
+    inner = _renamed(docs, [*keep, "text"])
+    schema = StructType([*inner.schema.fields[:-1], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def run(it):
         languages, slots, false_rates = shared.value
-        kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if min(len(languages), WORD) <= np.dtype(k).itemsize * 8)
-        slots = slots.astype(kind)
+        slots = _narrowed(slots, languages)
         for batch in it:
-            texts = batch.column("text").to_pylist()
-            data, offsets = text_bytes(batch.column("text"))
-            best, score, fits = np.zeros(len(texts), np.int64), np.zeros(len(texts)), np.ones(len(texts), bool)
-            for a, b in batches(offsets) if languages else []:
-                h, bounds = _grams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                n = np.diff(bounds)
-                full = np.flatnonzero(n)
-                if not len(full):
-                    continue
-                answer = _answers(slots, h)
-                found = np.stack([np.add.reduceat(_bit(answer, k).astype(np.int32), bounds[:-1][full]) for k in range(len(languages))], 1)
-                share = np.clip((found / n[full][:, None] - false_rates) / (1 - false_rates), 0, 1)
-                best[a + full], score[a + full] = share.argmax(1), share.max(1)
-                if gates is not None:
-                    fits[a + full] = share.max(1) >= gates[np.minimum(np.log2(n[full]).astype(np.int64), SIZES - 1)]
-            letters = [bool(languages) and has_letter(t) for t in texts]
-            pred = [languages[k] if x else "und" for k, x in zip(best.tolist(), letters)]
-            judged = [pa.array(pred, pa.string()), pa.array(np.where(letters, score, 0.0)), pa.array(fits)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *judged][: len(schema)], schema.names)
+            lang, score, _ = _judge(languages, slots, false_rates, batch.column(batch.num_columns - 1), None)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score)], schema.names)
 
     out = inner.mapInArrow(run, schema)
-    return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], *schema.names[len(names) :])
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score")
 
 
 def held_out() -> Column:
@@ -250,12 +260,22 @@ def held_out() -> Column:
 
 
 def drop_unidentified(docs: DataFrame) -> DataFrame:
-    """``docs`` without rows that have no letters or whose text fits no learned language."""
+    """``docs`` without rows that have no letters or whose text fits no learned language.
+
+    Texts too short for a single n-gram fit. Each row travels to Python and back once.
+    """
     model = learn(docs, ~held_out())
-    known = [c for c in docs.columns if c != "text"]
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
     gates = measure_gates(docs, model, held_out())
-    judged = identify(docs.withColumn("__text", F.col("text")), model, [*known, "__text"], gates)
-    kept = judged.where((F.col("lang_pred") != "und") & F.col("fits"))
-    return kept.withColumnRenamed("__text", "text").select(*[F.col(f"`{c}`") for c in docs.columns])
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.slots, model.false_rates, gates))
+    inner, at = _renamed(docs, docs.columns), docs.columns.index("text")
+
+    def run(it):
+        languages, slots, false_rates, gates = shared.value
+        slots = _narrowed(slots, languages)
+        for batch in it:
+            lang, _, fits = _judge(languages, slots, false_rates, batch.column(at), gates)
+            yield batch.filter(pa.array(fits & np.array([x != "und" for x in lang], bool)))
+
+    return inner.mapInArrow(run, inner.schema).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -213,7 +213,10 @@ def test_language(spark):
     judged = {r.doc_id: r for r in language.identify(docs, language.learn(docs, ~language.held_out()), ["doc_id"]).collect()}
     assert all(judged[i].lang_pred == lang and 0 <= judged[i].score <= 1 for i, _, lang in rows)
     assert {judged[i].lang_pred for i, *_ in odd} == {"und"}
-    assert language.drop_unidentified(docs).count() == len(rows)
+    clash = docs.select("*", *[F.lit(k).alias(c) for k, c in enumerate(["score", "lang_pred", "fits", "c0", "c1"])])
+    kept = language.drop_unidentified(clash.unionByName(clash.where("doc_id < 5")))
+    assert kept.columns == clash.columns and kept.count() == len(rows) + sum(r[0] < 5 for r in rows)
+    assert kept.where("score != 0 or c1 != 4").isEmpty() and language.drop_unidentified(docs.where("false")).count() == 0
     assert {r.lang_pred for r in language.identify(docs, language.learn(docs.where("false"), F.lit(True)), ["doc_id"]).collect()} == {"und"}
 
 
