@@ -292,9 +292,10 @@ def near_groups(docs: DataFrame, rule: NearRule = NearRule()) -> DataFrame:
 
 def _spoke_links(spokes: DataFrame, sets: DataFrame, rule: NearRule) -> DataFrame:
     """Those of ``spokes(a, b, n)`` that the full sets confirm; ``n``: shingles of ``b``. A bucket's first set meets its partners in parts of bounded size."""
+    share = max(1, rule.block_items // 4)
     total = spokes.agg(F.sum("n")).first()[0] or 0
-    parts = max(1, -(-total // rule.block_items))
-    many = spokes.groupBy("a").agg(F.ceil(F.sum("n") / rule.block_items).cast("int").alias("pieces"))
+    parts = max(1, -(-total // share))
+    many = spokes.groupBy("a").agg(F.ceil(F.sum("n") / share).cast("int").alias("pieces"))
     salted = spokes.select("a", F.col("b").alias("id")).join(many, "a").withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int")).drop("pieces")
     hubs = many.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).select("a", F.col("a").alias("id"), "piece")
     both = salted.unionByName(hubs).withColumn("part", F.pmod(F.xxhash64("a", "piece"), F.lit(parts)))
