@@ -2,7 +2,9 @@
 
 ``nodes``: id, node_pos, x, y, attrs. ``edges``: src, dst, weight, edge_pos, nbr_pos, a row for each edge of a
 simple graph. Row order never matters: ``node_pos`` is the order of nodes, ``edge_pos`` that of edges listed node
-by node, and ``nbr_pos`` that in which edges were made, which orders the neighbours of a node.
+by node, and ``nbr_pos`` that in which edges were made, which orders the neighbours of a node. Positions take global
+sorts; a graph made with ``ordered=False`` leaves them null until :meth:`Graph.ordered` is asked for, which every
+operator does whose result depends on them.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .plans import Scratch
 from .plans.ranking import with_positions
 
 ATTRS = "map<string,string>"
@@ -24,17 +27,22 @@ class Graph:
     edges: DataFrame
     directed: bool = False
     weighted: bool = False
+    placed: bool = True
 
     # Building
 
     @staticmethod
-    def from_edges(rows: DataFrame, directed: bool = False, weighted: bool = False, nodes: DataFrame | None = None) -> Graph:
+    def from_edges(rows: DataFrame, directed: bool = False, weighted: bool = False, nodes: DataFrame | None = None, ordered: bool = True) -> Graph:
         """A graph from ``rows(src, dst[, weight[, pos]])`` and optional ``nodes(id[, pos, x, y, attrs])``.
 
         A pair that comes again takes the last weight and keeps its first place; undirected pairs are the
-        same either way round. Without ``pos`` columns, order is by id.
+        same either way round. Without ``pos`` columns, order is by id; then positions can wait (``ordered=False``).
         """
         cols = rows.columns
+        if not ordered:
+            if "pos" in cols or nodes is not None:
+                raise ValueError("only graphs whose order is by id can wait for their positions")
+            return Graph._unplaced(rows, directed, weighted)
         weight = F.col("weight").cast("double") if weighted and "weight" in cols else F.lit(1.0)
         rows = rows.select("src", "dst", F.coalesce(weight, F.lit(1.0)).alias("weight"), F.col("pos") if "pos" in cols else F.struct("src", "dst").alias("pos"))
         ends = rows.select(F.explode(F.array(F.struct(F.lit(1).alias("late"), "pos", F.lit(0).alias("side"), F.col("src").alias("id")), F.struct(F.lit(1).alias("late"), "pos", F.lit(1).alias("side"), F.col("dst").alias("id")))).alias("e")).select("e.id", F.struct("e.late", "e.pos", "e.side").alias("at"))
@@ -63,6 +71,26 @@ class Graph:
         made = F.col("made").cast("long") if "pos" in cols else F.col("edge_pos")
         return Graph(nodes_df, placed.select("src", "dst", "weight", "edge_pos", made.alias("nbr_pos")), directed, weighted)
 
+    @staticmethod
+    def _unplaced(rows: DataFrame, directed: bool, weighted: bool) -> Graph:
+        a, b = F.col("src"), F.col("dst")
+        weight = F.coalesce(F.col("weight").cast("double"), F.lit(1.0)) if weighted and "weight" in rows.columns else F.lit(1.0)
+        # Of rows for one pair the last in order of (src, dst) has the weight, as when positions are given.
+        key = [a, b] if directed else [F.least(a, b), F.greatest(a, b)]
+        once = rows.select(*[k.alias(n) for k, n in zip(key, ("p", "q"))], F.struct("src", "dst").alias("pos"), weight.alias("weight")).groupBy("p", "q").agg(F.max_by("weight", "pos").alias("weight"))
+        none = F.lit(None).cast("long")
+        scratch = Scratch(rows.sparkSession, "graph")
+        edges = scratch.save(once.select(F.col("p").alias("src"), F.col("q").alias("dst"), "weight"), "edges")
+        ids = scratch.save(edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), "nodes")
+        nodes = ids.select("id", none.alias("node_pos"), none.cast("double").alias("x"), none.cast("double").alias("y"), F.lit(None).cast(ATTRS).alias("attrs"))
+        return Graph(nodes, edges.select("*", none.alias("edge_pos"), none.alias("nbr_pos")), directed, weighted, False)
+
+    def ordered(self) -> Graph:
+        """This graph with its positions."""
+        if self.placed:
+            return self
+        return Graph.from_edges(self.edges.select("src", "dst", "weight"), self.directed, self.weighted, self.nodes.select("id", "x", "y", "attrs"))
+
     @staticmethod
     def of(spark: SparkSession, edges: Iterable, directed: bool = False, weighted: bool = False, nodes: Iterable | None = None) -> Graph:
         """From Python values: pairs or triples, and ids or (id, x, y)."""
@@ -82,6 +110,8 @@ class Graph:
     # Changing
 
     def _rebuilt(self, more_edges: DataFrame | None = None, more_nodes: DataFrame | None = None) -> Graph:
+        if not self.placed:
+            return self.ordered()._rebuilt(more_edges, more_nodes)
         rows = self.edges.select("src", "dst", "weight", F.col("nbr_pos").alias("pos"))
         if more_edges is not None:
             weight = F.col("weight").cast("double") if "weight" in more_edges.columns else F.lit(1.0)
@@ -145,14 +175,18 @@ class Graph:
     def neighbors(self, node) -> DataFrame:
         return self.adjacency().where(F.col("src") == F.lit(node)).select(F.col("dst").alias("id"), "weight")
 
+    def node_attrs(self, node) -> DataFrame:
+        """id and the whole map of attributes, empty where none are set; no row for a node that is not there."""
+        return self.nodes.where(F.col("id") == F.lit(node)).select("id", F.coalesce("attrs", F.create_map().cast(ATTRS)).alias("attrs"))
+
     def node_attr(self, node, key: str, default: str | None = None) -> DataFrame:
         return self.nodes.where(F.col("id") == F.lit(node)).select("id", F.coalesce(F.try_element_at("attrs", F.lit(key)), F.lit(default)).alias("value"))
 
     def get_nodes(self) -> DataFrame:
-        return self.nodes.orderBy("node_pos")
+        return self.ordered().nodes.orderBy("node_pos")
 
     def get_edges(self) -> DataFrame:
-        return self.edges.orderBy("edge_pos")
+        return self.ordered().edges.orderBy("edge_pos")
 
     def num_nodes(self) -> int:
         return self.nodes.count()

@@ -22,15 +22,15 @@ def pagerank(graph: Graph, damping: float = 0.85, max_iterations: int = 100, tol
     edges = scratch.save(adj.join(out, "src"), "edges")
     ranks = graph.nodes.select("id").join(out.withColumnRenamed("src", "id"), "id", "left").select("id", "out", F.lit(1.0 / n).alias("score"))
     ranks, history = scratch.save(ranks, "ranks"), []
+    lost = ranks.where("out is null").agg(F.sum("score")).first()[0] or 0.0
     for _ in range(max_iterations):
-        lost = ranks.where("out is null").agg(F.sum("score")).first()[0] or 0.0
         base = (1 - damping) / n + damping * lost / n
         got = ranks.select(F.col("id").alias("src"), "score").join(edges, "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") / F.col("out")).alias("got"))
-        fresh = ranks.join(got, "id", "left").select("id", "out", (F.lit(base) + F.lit(damping) * F.coalesce("got", F.lit(0.0))).alias("score"), F.col("score").alias("old"))
-        fresh = scratch.save(fresh, "fresh")
-        history.append(fresh.agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0])
-        ranks = scratch.save(fresh.drop("old"), "ranks")
-        if history[-1] < tolerance:
+        fresh = ranks.select("id", "out", F.col("score").alias("old")).join(got, "id", "left").select("id", "out", "old", (F.lit(base) + F.lit(damping) * F.coalesce("got", F.lit(0.0))).alias("score"))
+        ranks = scratch.save(fresh, "ranks")
+        moved, lost = ranks.agg(F.sum(F.abs(F.col("score") - F.col("old"))), F.coalesce(F.sum(F.when(F.col("out").isNull(), F.col("score"))), F.lit(0.0))).first()
+        history.append(moved)
+        if moved < tolerance:
             break
     return ranks.select("id", "score"), len(history), history
 
@@ -99,15 +99,14 @@ def eigenvector_centrality(graph: Graph, max_iterations: int = 100, tolerance: f
     edges = scratch.save(graph.adjacency().select("src", "dst"), "edges")
     score, history = scratch.save(graph.nodes.select("id", F.lit(1.0 / n**0.5).alias("score")), "score"), []
     for _ in range(max_iterations):
-        got = edges.join(score.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("score").alias("got"))
+        got = edges.join(score.select(F.col("id").alias("src"), "score"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("score").alias("got"))
         fresh = scratch.save(score.join(got, "id", "left").select("id", F.col("score").alias("old"), F.coalesce("got", F.lit(0.0)).alias("got")), "fresh")
         norm = fresh.agg(F.sqrt(F.sum(F.col("got") * F.col("got")))).first()[0]
         if norm < 1e-18:
             history.append(0.0)
             return graph.nodes.select("id", F.lit(1.0 / n**0.5).alias("score")), len(history), history
-        scaled = fresh.select("id", "old", (F.col("got") / F.lit(norm)).alias("score"))
-        history.append(scaled.agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0])
-        score = scratch.save(scaled.drop("old"), "score")
+        score = fresh.select("id", "old", (F.col("got") / F.lit(norm)).alias("score"))
+        history.append(score.agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0])
         if history[-1] < tolerance:
             break
-    return score, len(history), history
+    return score.select("id", "score"), len(history), history

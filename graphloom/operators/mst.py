@@ -17,6 +17,7 @@ from .components import component_labels
 
 def _tree(graph: Graph) -> DataFrame:
     graph.ensure_kind(False, "a spanning tree")
+    graph = graph.ordered()
     scratch = Scratch(graph.nodes.sparkSession, "mst")
     label = scratch.save(graph.nodes.select("id", F.col("id").alias("c")), "label")
     edges = scratch.save(graph.edges.where("src != dst"), "edges")
@@ -56,7 +57,7 @@ def prims(graph: Graph, start=None) -> DataFrame:
     Finding the tree is distributed; only its ``n - 1`` edges enter the sequential replay.
     """
     if start is None:
-        first = graph.nodes.orderBy("node_pos").first()
+        first = graph.ordered().nodes.orderBy("node_pos").first()
         start = first["id"] if first else None
     else:
         graph.ensure_node(start, "start")

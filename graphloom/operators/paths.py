@@ -143,14 +143,25 @@ def a_star(graph: Graph, start, goal, heuristic: DataFrame) -> DataFrame:
 
 
 def reconstruct_path(found: DataFrame, start, end) -> DataFrame:
-    """step, id from ``start`` to ``end`` along ``found(id, pred)``; no way there is a ValueError."""
+    """step, id from ``start`` to ``end`` along ``found(id, pred)``; no way there is a ValueError.
+
+    Tables of ancestors 1, 2, 4, ... hops up come from joining each with itself; read from the longest hop down, they
+    double the known part of the way in each round.
+    """
     spark = found.sparkSession
-    chain, at = [end], end
-    while at != start:
-        row = found.where(F.col("id") == F.lit(at)).select("pred").first()
-        if row is None or row["pred"] is None or len(chain) > 1_000_000:
-            raise ValueError(f"No path from {start!r} to {end!r}")
-        at = row["pred"]
-        chain.append(at)
+    scratch = Scratch(spark, "way")
     kind = found.schema["id"].dataType.simpleString()
-    return spark.createDataFrame(list(enumerate(reversed(chain))), f"step bigint, id {kind}")
+    # The way ends at the start, whatever its own predecessor is.
+    hop = scratch.save(found.where(F.col("pred").isNotNull() & (F.col("id") != F.lit(start))).select("id", F.col("pred").alias("up")), "hop0")
+    hops, longest = [hop], hop.count()
+    while not hop.isEmpty() and 1 << len(hops) <= longest:
+        hop = scratch.save(hop.join(hops[-1].select(F.col("id").alias("up"), F.col("up").alias("above")), "up").select("id", F.col("above").alias("up")), f"hop{len(hops)}")
+        hops.append(hop)
+    way = scratch.save(spark.createDataFrame([(end, 0)], f"id {kind}, off bigint"), "way")
+    for k in range(len(hops) - 1, -1, -1):
+        further = way.join(hops[k], "id").select(F.col("up").alias("id"), (F.col("off") + (1 << k)).alias("off"))
+        way = scratch.save(way.unionByName(further), "way")
+    last = way.where(F.col("id") == F.lit(start)).agg(F.min("off")).first()[0]
+    if last is None:
+        raise ValueError(f"No path from {start!r} to {end!r}")
+    return way.where(F.col("off") <= last).select((F.lit(last) - F.col("off")).alias("step"), "id")

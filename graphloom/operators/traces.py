@@ -57,6 +57,7 @@ def flatten(*traces: DataFrame) -> DataFrame:
 
 def bfs(graph: Graph, start) -> DataFrame:
     """visit(node, distance, via), skip(node, from): each visited node in turn looks at its neighbours."""
+    graph = graph.ordered()
     seen = traversal.bfs(graph, start)
     tail = seen.select(F.col("id").alias("src"), "ord")
     head = seen.select(F.col("id").alias("dst"), "dist", "via")
@@ -234,6 +235,7 @@ def a_star(graph: Graph, start, goal, heuristic: DataFrame) -> DataFrame:
 
 def bellman_ford(graph: Graph, start) -> DataFrame:
     """relax(iteration, from, to, distance): passes over all edges in their order, until one changes nothing."""
+    graph = graph.ordered()
     graph.ensure_node(start, "start")
     turns = graph.edges.select("src", "dst", "weight", "edge_pos", F.lit(0).alias("side"))
     if not graph.directed:
@@ -282,6 +284,7 @@ def floyd_warshall(graph: Graph) -> DataFrame:
 
 def johnsons(graph: Graph) -> DataFrame:
     """potentials_start(source), potentials(h), dijkstra_source(source, reachable) for every node."""
+    graph = graph.ordered()
     h = graph.nodes.select("id", "node_pos").join(paths.potentials(graph), "id")
     text = h.groupBy().agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("node_pos", "id", "h"))), lambda x: F.struct(x["id"].cast("string"), x["h"]))).alias("h"))
     reach = paths.johnsons(graph).groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n")).join(graph.nodes.select("id", "node_pos"), "id")
@@ -296,6 +299,7 @@ def johnsons(graph: Graph) -> DataFrame:
 
 def kruskals(graph: Graph) -> DataFrame:
     """consider(edge, weight), then accept(edge, weight, total) or reject(edge, weight, reason), up to the last tree edge."""
+    graph = graph.ordered()
     scratch = Scratch(graph.nodes.sparkSession, "kruskal-steps")
     tree = scratch.save(mst.kruskals(graph).select("src", "dst", "total", F.lit(True).alias("taken")), "tree")
     rows = with_positions(graph.edges.join(tree, ["src", "dst"], "left"), [F.col("weight"), F.col("edge_pos")], "at")
@@ -388,6 +392,7 @@ def ford_fulkerson(graph: Graph, source, sink) -> DataFrame:
 
 def min_cut(graph: Graph, source, sink) -> DataFrame:
     """The augment steps, source_side(nodes), sink_side(nodes), cut_edge(edge, capacity)."""
+    graph = graph.ordered()
     scratch = Scratch(graph.nodes.sparkSession, "cut-steps")
     _, cut, sides = flows.min_cut(graph, source, sink)
     cut, sides = scratch.save(cut, "cut"), scratch.save(sides.join(graph.nodes.select("id", "node_pos"), "id"), "sides")
@@ -432,12 +437,14 @@ def iterations(graph: Graph, history: list[float]) -> DataFrame:
 
 def betweenness_centrality(graph: Graph) -> DataFrame:
     """source_done(source, reached) for every node."""
+    graph = graph.ordered()
     reach = central.reached_counts(graph).join(graph.nodes.select("id", "node_pos"), "id")
     return _numbered(reach.select("node_pos", _step("source_done", source=F.col("id"), reached=F.col("n")).alias("s")), ["node_pos"])
 
 
 def closeness_centrality(graph: Graph) -> DataFrame:
     """node_closeness(node, reachable, score) for every node."""
+    graph = graph.ordered()
     rows = central.closeness_centrality(graph).join(central.reached_counts(graph), "id").join(graph.nodes.select("id", "node_pos"), "id")
     return _numbered(rows.select("node_pos", _step("node_closeness", node=F.col("id"), reachable=F.col("n") - 1, score=F.col("score")).alias("s")), ["node_pos"])
 

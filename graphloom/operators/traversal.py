@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,31 +18,80 @@ from .components import component_labels
 def bfs(graph: Graph, start, with_order: bool = True) -> DataFrame:
     """id, dist and (with ``with_order``) ord, via: level by level, parents by visit order, children by place."""
     graph.ensure_node(start, "start")
+    return _visits(graph.ordered(), start) if with_order else _hops(graph, start)
+
+
+#: So many tables of levels are written as one, so that a plan never reads more than these.
+MERGE_LEVELS = 16
+
+
+class _Levels:
+    """Tables of found rows, a few large ones and one for each recent level."""
+
+    def __init__(self, scratch: Scratch, first: DataFrame):
+        self.scratch, self.old, self.recent, self.n = scratch, [], [], 0
+        self.add(first)
+
+    def add(self, level: DataFrame) -> DataFrame:
+        self.n += 1
+        saved = self.scratch.save(level, f"level{self.n}")
+        self.recent.append(saved)
+        if len(self.recent) > MERGE_LEVELS:
+            self.old = [self.scratch.save(self.every(), f"merged{self.n}")]
+            self.recent = [saved.where("false")]
+        return saved
+
+    def every(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, [*self.old, *self.recent])
+
+    def last(self, n: int) -> DataFrame:
+        """What the last ``n`` levels hold, or more."""
+        return self.every() if len(self.recent) < n else reduce(DataFrame.unionByName, self.recent[-n:])
+
+
+def _hops(graph: Graph, start) -> DataFrame:
+    """id, dist. Only a directed edge can lead back by more than one level, so only then all levels are looked up."""
+    spark = graph.nodes.sparkSession
+    scratch = Scratch(spark, "hops")
+    kind = graph.nodes.schema["id"].dataType.simpleString()
+    adj = scratch.save(graph.adjacency().where("src != dst").select("src", "dst"), "adjacency")
+    front = spark.createDataFrame([(start, 0)], f"id {kind}, dist bigint")
+    levels, dist = _Levels(scratch, front), 0
+    while not front.isEmpty():
+        dist += 1
+        found = front.select(F.col("id").alias("src")).join(adj, "src").select(F.col("dst").alias("id")).distinct()
+        known = levels.every() if graph.directed else levels.last(2)
+        front = levels.add(found.join(known.select("id"), "id", "left_anti").select("id", F.lit(dist).cast("long").alias("dist")))
+    return levels.every()
+
+
+def _visits(graph: Graph, start) -> DataFrame:
     spark = graph.nodes.sparkSession
     scratch = Scratch(spark, "bfs")
     kind = graph.nodes.schema["id"].dataType.simpleString()
     adj = scratch.save(graph.adjacency().select("src", "dst", "nbr_pos"), "adjacency")
-    pos = graph.nodes.select(F.col("id").alias("dst"), "node_pos")
-    seen = front = scratch.save(spark.createDataFrame([(start, 0, 0, None)], f"id {kind}, dist bigint, ord bigint, via {kind}"), "level0")
-    level = total = 1
+    pos = graph.nodes.select("id", "node_pos")
+    front = spark.createDataFrame([(start, 0, 0, None)], f"id {kind}, dist bigint, ord bigint, via {kind}")
+    levels, dist, total = _Levels(scratch, front), 0, 1
     while True:
-        found = front.select(F.col("id").alias("src"), "ord").join(adj, "src").groupBy("dst").agg(F.min(F.struct("ord", "nbr_pos", "src")).alias("by"))
-        found = found.join(seen.select(F.col("id").alias("dst")), "dst", "left_anti").select(F.col("dst").alias("id"), F.lit(level).cast("long").alias("dist"), "by")
-        found = with_positions(found.join(pos.withColumnRenamed("dst", "id"), "id"), [F.col("by.ord"), F.col("by.nbr_pos"), F.col("node_pos")], "ord", total) if with_order else found.withColumn("ord", F.lit(0).cast("long"))
-        front = scratch.save(found.select("id", "dist", "ord", F.col("by.src").alias("via")), f"level{level}")
+        dist += 1
+        found = front.select(F.col("id").alias("src"), "ord").join(adj, "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.struct("ord", "nbr_pos", "src")).alias("by"))
+        known = levels.every() if graph.directed else levels.last(2)
+        found = found.join(known.select("id"), "id", "left_anti").join(pos, "id")
+        found = with_positions(found, [F.col("by.ord"), F.col("by.nbr_pos"), F.col("node_pos")], "ord", total)
+        front = levels.add(found.select("id", F.lit(dist).cast("long").alias("dist"), "ord", F.col("by.src").alias("via")))
         size = front.count()
         if not size:
-            break
-        seen = seen.unionByName(front)
-        level, total = level + 1, total + size
-    return seen if with_order else seen.select("id", "dist")
+            return levels.every()
+        total += size
 
 
 def kernel(graph: Graph, run: Callable, schema: str, values: DataFrame | None = None) -> DataFrame:
     """A sequential algorithm over one graph's adjacency in one task; many graphs would run side by side.
 
-    ``run`` takes {node: {neighbour: weight}} in order, and {node: h} where ``values(id, h)`` is given.
+    For algorithms whose order of steps is their result; the graph, or the part of it, must fit in a task. ``run`` takes {node: {neighbour: weight}} in order, and {node: h} where ``values(id, h)`` is given.
     """
+    graph = graph.ordered()
     adj = graph.adjacency().select(F.lit(1).alias("edge"), "src", "dst", "weight", F.col("nbr_pos").alias("pos"))
     nodes = graph.nodes.select(F.lit(0).alias("edge"), F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("weight"), F.col("node_pos").alias("pos"))
     both = adj.unionByName(nodes)
@@ -96,23 +146,23 @@ def topological_levels(graph: Graph) -> DataFrame:
     graph.ensure_kind(True, "topological order")
     scratch = Scratch(graph.nodes.sparkSession, "topological")
     edges = scratch.save(graph.edges.select("src", "dst"), "edges")
-    left = scratch.save(graph.nodes.select("id"), "left0")
-    out, level, remaining = None, 0, left.count()
+    left = scratch.save(graph.nodes.select("id"), "left")
+    levels, level, remaining = _Levels(scratch, left.where("false").withColumn("level", F.lit(0).cast("long"))), 0, left.count()
     while remaining:
         ready = left.join(edges.select(F.col("dst").alias("id")).distinct(), "id", "left_anti")
-        ready = scratch.save(ready.withColumn("level", F.lit(level).cast("long")), f"level{level}")
+        ready = levels.add(ready.withColumn("level", F.lit(level).cast("long")))
         size = ready.count()
         if not size:
             raise ValueError("Graph contains a cycle")
-        out = ready if out is None else out.unionByName(ready)
         edges = scratch.save(edges.join(ready.select(F.col("id").alias("src")), "src", "left_anti"), "edges")
         left = scratch.save(left.join(ready.select("id"), "id", "left_anti"), "left")
         level, remaining = level + 1, remaining - size
-    return out if out is not None else graph.nodes.select("id", F.lit(0).cast("long").alias("level"))
+    return levels.every()
 
 
 def topological_sort(graph: Graph) -> DataFrame:
     """id, ord: a valid order, by level and then by place among the nodes."""
+    graph = graph.ordered()
     levels = topological_levels(graph).join(graph.nodes.select("id", "node_pos"), "id")
     return with_positions(levels, [F.col("level"), F.col("node_pos")], "ord").select("id", "ord")
 
@@ -129,11 +179,15 @@ def _components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def is_bipartite(graph: Graph) -> bool:
-    """Whether two colours do; directed edges count both ways.
+    """Whether two colours do.
 
-    Every node is doubled, one copy for each colour, and edges join opposite copies: a graph is bipartite
-    exactly when no node's two copies meet in one component.
+    Undirected: every node is doubled, one copy for each colour, and edges join opposite copies; a graph is
+    bipartite exactly when no node's two copies meet in one component. Directed edges are walked forwards only, from
+    each node in order that no earlier one has reached, which starts with the first colour again; so the answer for a
+    directed graph depends on the order of its nodes.
     """
+    if graph.directed:
+        return _forward_colours(graph.ordered())
     side = lambda c, k: F.concat(F.col(c).cast("string"), F.lit(f"|{k}"))
     e = graph.edges
     doubled = e.select(side("src", 0).alias("src"), side("dst", 1).alias("dst")).unionAll(e.select(side("src", 1), side("dst", 0)))
@@ -142,6 +196,20 @@ def is_bipartite(graph: Graph) -> bool:
     return comp.groupBy(name.alias("v")).agg(F.count("*").alias("n"), F.count_distinct("component").alias("c")).where("n > 1 and c = 1").isEmpty()
 
 
+def _forward_colours(graph: Graph) -> bool:
+    """A node belongs to the first one that reaches it, and its colour is the parity of its hops from there."""
+    scratch = Scratch(graph.nodes.sparkSession, "colours")
+    edges = scratch.save(graph.edges.select("src", "dst"), "edges")
+    by = scratch.save(graph.nodes.select("id", F.struct(F.col("node_pos").alias("root"), F.lit(0).alias("hops")).alias("by"), F.lit(True).alias("moved")), "by")
+    while not by.where("moved").isEmpty():
+        offer = by.where("moved").select(F.col("id").alias("src"), "by").join(edges, "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.struct(F.col("by.root").alias("root"), (F.col("by.hops") + 1).alias("hops"))).alias("o"))
+        better = F.coalesce(F.col("o") < F.col("by"), F.lit(False))
+        by = scratch.save(by.drop("moved").join(offer, "id", "left").select("id", F.when(better, F.col("o")).otherwise(F.col("by")).alias("by"), better.alias("moved")), "by")
+    colour = (F.col("by.hops") % 2).alias("c")
+    ends = edges.join(by.select(F.col("id").alias("src"), colour.alias("a")), "src").join(by.select(F.col("id").alias("dst"), colour.alias("b")), "dst")
+    return ends.where("a = b").isEmpty()
+
+
 def strongly_connected_components(graph: Graph) -> DataFrame:
     """id, component (the smallest id of it), by trimming and forward-backward colouring."""
     graph.ensure_kind(True, "strongly connected components")
@@ -183,14 +251,14 @@ def _forest(graph: Graph, scratch: Scratch) -> DataFrame:
     """id, parent, depth, root: a breadth-first forest of all components at once."""
     comp = connected_components(graph)
     adj = scratch.save(graph.adjacency().where("src != dst").select("src", "dst"), "adj")
-    front = seen = scratch.save(comp.where("id = component").select("id", F.col("id").alias("parent"), F.lit(0).alias("depth"), F.col("id").alias("root")), "tree0")
-    level = 1
+    front = comp.where("id = component").select("id", F.col("id").alias("parent"), F.lit(0).alias("depth"), F.col("id").alias("root"))
+    levels, depth = _Levels(scratch, front), 0
     while not front.isEmpty():
+        depth += 1
         found = front.select(F.col("id").alias("src"), "root").join(adj, "src").groupBy("dst", "root").agg(F.min("src").alias("parent"))
-        found = found.select(F.col("dst").alias("id"), "parent", F.lit(level).alias("depth"), "root").join(seen.select("id"), "id", "left_anti")
-        front = scratch.save(found, f"tree{level}")
-        seen, level = seen.unionByName(front), level + 1
-    return scratch.save(seen, "forest")
+        found = found.select(F.col("dst").alias("id"), "parent", F.lit(depth).alias("depth"), "root")
+        front = levels.add(found.join(levels.last(2).select("id"), "id", "left_anti"))
+    return scratch.save(levels.every(), "forest")
 
 
 def _blocks(graph: Graph) -> DataFrame:

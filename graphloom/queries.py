@@ -66,40 +66,55 @@ def topological_sort_valid(spark: SparkSession, sf: str) -> DataFrame:
     return order.agg(F.count("*").alias("n"), F.min("ord").alias("low"), F.max("ord").alias("high")).join(ends.agg(F.count_if(F.expr("a >= b")).alias("bad")))
 
 
-@query("select true as g2, false as g1")
+#: The least id that each node is connected to, by rounds that keep a row for each node.
+LABEL = "lab(id, c) using key (id) as (select id, id from v union (select a.dst, min(l.c) from lab l join adj a on a.src = l.id left join recurring.lab o on o.id = a.dst where l.c < o.c group by 1))"
+
+
+def _two_colours(graph_sql: str) -> str:
+    sides = "two(id, side) using key (id, side) as (select distinct c, 0 from lab union (select distinct a.dst, 1 - t.side from two t join adj a on a.src = t.id left join recurring.two o on o.id = a.dst and o.side = 1 - t.side where o.id is null))"
+    return _with(graph_sql, BOTH, NODES, LABEL, sides) + "select count(*) = count(distinct id) as two from two"
+
+
+@query(f"select (select two from ({_two_colours(T.SUPPLIER_PART)})) as g2, (select two from ({_two_colours(T.COPURCHASE)})) as g1")
 def is_bipartite(spark: SparkSession, sf: str) -> DataFrame:
     two, one = traversal.is_bipartite(T.table_graph(spark, sf, T.SUPPLIER_PART)), traversal.is_bipartite(T.table_graph(spark, sf, T.COPURCHASE))
     return spark.createDataFrame([(two, one)], "g2 boolean, g1 boolean")
 
 
-@query(_with(T.SUPPLIER_PART, BOTH, NODES, "r as (select id, id as c from v union select a.dst, r.c from r join adj a on a.src = r.id)") + "select id, min(c) as component from r group by 1")
+@query(_with(T.SUPPLIER_PART, BOTH, NODES, LABEL) + "select id, c as component from lab")
 def connected_components(spark: SparkSession, sf: str) -> DataFrame:
     return traversal.connected_components(T.table_graph(spark, sf, T.SUPPLIER_PART))
 
 
-@query(_with(T.TRADE_TOP, NODES, "r as (select id as a, id as b from v union select r.a, e.dst from r join e on e.src = r.b)") + "select x.a as id, min(x.b) as component from r x join r y on x.a = y.b and x.b = y.a group by 1")
+@query(_with(T.SURPLUS, NODES, "r as (select id as a, id as b from v union select r.a, e.dst from r join e on e.src = r.b)") + "select x.a as id, min(x.b) as component from r x join r y on x.a = y.b and x.b = y.a group by 1")
 def strongly_connected_components(spark: SparkSession, sf: str) -> DataFrame:
-    return traversal.strongly_connected_components(T.table_graph(spark, sf, T.TRADE_TOP, directed=True))
-
-
-_CUT_EDGE = _with(T.CUSTOMER_SUPPLIER, BOTH, "r as (select src as a, dst as b, src as id from e union select r.a, r.b, j.dst from r join adj j on j.src = r.id where not (j.src = r.a and j.dst = r.b) and not (j.src = r.b and j.dst = r.a))")
+    return traversal.strongly_connected_components(T.table_graph(spark, sf, T.SURPLUS, directed=True))
+
+
+#: A bridge is a tree edge that no other edge spans. Every other edge has a 64-bit name; the names at a node's whole
+#: subtree cancel out in pairs except those of edges that leave it.
+_CUT_EDGE = _with(
+    T.ORDER_PART, BOTH, NODES, LABEL, "few(id, dist) using key (id) as (select distinct c, 0 from lab union (select a.dst, min(f.dist + 1) from few f join adj a on a.src = f.id left join recurring.few r on r.id = a.dst where r.dist is null group by 1))",
+    "up as (select f.id, min(g.id) as parent from few f join adj a on a.src = f.id join few g on g.id = a.dst and g.dist = f.dist - 1 group by 1)",
+    "flat as (select e.src, e.dst, hash(e.src, e.dst) as name from e where not exists (select 1 from up where up.id = e.src and up.parent = e.dst) and not exists (select 1 from up where up.id = e.dst and up.parent = e.src))",
+    "mark as (select id, bit_xor(name) as name from (select src as id, name from flat union all select dst, name from flat) group by 1)",
+    "above(id, top) as (select id, id from mark union all select a.id, up.parent from above a join up on up.id = a.top)",
+    "spans as (select top as id, bit_xor(name) as name from above join mark using (id) group by 1)",
+)
 
 
-@query(_CUT_EDGE + "select least(src, dst) as src, greatest(src, dst) as dst from e where not exists (select 1 from r where r.a = e.src and r.b = e.dst and r.id = e.dst)")
+@query(_CUT_EDGE + "select least(up.id, parent) as src, greatest(up.id, parent) as dst from up left join spans on spans.id = up.id where coalesce(name, 0) = 0")
 def bridges(spark: SparkSession, sf: str) -> DataFrame:
-    return traversal.find_bridges(T.table_graph(spark, sf, T.CUSTOMER_SUPPLIER))
-
-
-_CUT_NODE = _with(T.CUSTOMER_SUPPLIER, BOTH, "s as (select src as gone, min(dst) as id, count(*) as d from adj group by 1)", "r as (select gone, id from s where d > 1 union select r.gone, j.dst from r join adj j on j.src = r.id where j.dst <> r.gone)")
+    return traversal.find_bridges(T.table_graph(spark, sf, T.ORDER_PART))
 
 
-@query(_CUT_NODE + "select distinct a.src as id from adj a join s on s.gone = a.src and s.d > 1 where not exists (select 1 from r where r.gone = a.src and r.id = a.dst)")
+@query()
 def articulation_points(spark: SparkSession, sf: str) -> DataFrame:
-    return traversal.find_articulation_points(T.table_graph(spark, sf, T.CUSTOMER_SUPPLIER))
+    return traversal.find_articulation_points(T.table_graph(spark, sf, T.ORDER_PART))
 
 
 def _trade(spark: SparkSession, sf: str):
-    return T.table_graph(spark, sf, T.TRADE_TOP, directed=True)
+    return T.table_graph(spark, sf, T.SURPLUS, directed=True)
 
 
 @query(_with(T.COPURCHASE, BOTH, "near(id, dist) using key (id) as (select cast(0 as bigint), cast(0 as double) union (select a.dst, min(f.dist + a.weight) from near f join adj a on a.src = f.id left join recurring.near r on r.id = a.dst where r.dist is null or f.dist + a.weight < r.dist group by 1))", "p as (select n.id, min({'at': m.dist, 'src': m.id}) as o from near n join adj a on a.dst = n.id join near m on m.id = a.src and m.dist + a.weight = n.dist group by 1)") + "select n.id, n.dist, o.src as pred from near n left join p on p.id = n.id")
@@ -113,7 +128,7 @@ def bellman_ford(spark: SparkSession, sf: str) -> DataFrame:
     return paths.bellman_ford(g, g.edges.agg(F.min("src")).first()[0])
 
 
-_PAIRS = _with(T.TRADE_TOP, DIRECTED, NODES, NEAR) + "select src, dst, dist from near"
+_PAIRS = _with(T.SURPLUS, DIRECTED, NODES, NEAR) + "select src, dst, dist from near"
 
 
 @query(_PAIRS)
@@ -126,15 +141,27 @@ def johnsons(spark: SparkSession, sf: str) -> DataFrame:
     return paths.johnsons(_trade(spark, sf)).select("src", "dst", F.round("dist", 6).alias("dist"))
 
 
-@query("select cast(i as bigint) as step from range(0, 23) t(i)")
+_GRID = "select i as src, i + 1 as dst, 1 + i % 7 as weight from range(0, 144) t(i) where i % 12 < 11 union all select i, i + 12, 1 + i % 5 from range(0, 144) t(i) where i < 132"
+_NEAR_ONE = "near(id, dist) using key (id) as (select cast(0 as bigint), cast(0 as double) union (select a.dst, min(f.dist + a.weight) from near f join adj a on a.src = f.id left join recurring.near r on r.id = a.dst where r.dist is null or f.dist + a.weight < r.dist group by 1))"
+
+
+@query(_with(_GRID, BOTH, _NEAR_ONE) + "select cast(0 as bigint) as first, cast(143 as bigint) as last, dist as length, dist as walked, true as unbroken from near where id = 143")
 def a_star_path(spark: SparkSession, sf: str) -> DataFrame:
-    g = generators.grid_graph(spark, 12, 12)
+    """Length of the best way over a weighted grid, and its steps' weights summed up along edges of the grid."""
+    plain = generators.grid_graph(spark, 12, 12)
+    weight = F.when(F.col("dst") == F.col("src") + 1, 1 + F.col("src") % 7).otherwise(1 + F.col("src") % 5).cast("double")
+    g = plain.scaled(weight)
     found = paths.a_star(g, 0, 143, paths.euclidean_heuristic(g, 143))
-    return paths.reconstruct_path(found, 0, 143).select("step")
+    way = paths.reconstruct_path(found, 0, 143)
+    steps = way.select("step", F.col("id").alias("src")).join(way.select((F.col("step") - 1).alias("step"), F.col("id").alias("dst")), "step").join(g.adjacency(), ["src", "dst"])
+    ends = way.agg(F.min_by("id", "step").alias("first"), F.max_by("id", "step").alias("last"), F.count("*").alias("n"))
+    walked = steps.agg(F.sum("weight").alias("walked"), F.count("*").alias("m"))
+    length = found.where("id = 143").select(F.col("dist").alias("length"))
+    return ends.join(length).join(walked).select("first", "last", "length", "walked", (F.col("m") == F.col("n") - 1).alias("unbroken"))
 
 
 _TREE = _with(
-    T.TRADE_SMALL, "u as (select least(src, dst) as src, greatest(src, dst) as dst, min(weight) as weight from e group by 1, 2)", "k as (select *, row_number() over (order by weight, src, dst) as r from u)",
+    T.TRADE, "u as (select least(src, dst) as src, greatest(src, dst) as dst, min(weight) as weight from e group by 1, 2)", "k as (select *, row_number() over (order by weight, src, dst) as r from u)",
     "b as (select src as s, dst as d, r from k union all select dst, src, r from k)",
     "low(s, d, r) using key (s, d) as (select distinct s, s, cast(0 as bigint) from b union (select l.s, b.d, min(greatest(l.r, b.r)) from low l join b on b.s = l.d left join recurring.low o on o.s = l.s and o.d = b.d where o.r is null or greatest(l.r, b.r) < o.r group by 1, 2))",
 )
@@ -149,117 +176,79 @@ def _undirected(spark: SparkSession, sf: str, sql: str):
 
 @query(_TREE_SQL)
 def kruskals(spark: SparkSession, sf: str) -> DataFrame:
-    return mst.kruskals(_undirected(spark, sf, T.TRADE_SMALL)).select("src", "dst", "weight")
+    return mst.kruskals(_undirected(spark, sf, T.TRADE)).select("src", "dst", "weight")
 
 
 @query(_TREE_SQL)
 def prims(spark: SparkSession, sf: str) -> DataFrame:
-    return mst.prims(_undirected(spark, sf, T.TRADE_SMALL)).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "weight")
+    return mst.prims(_undirected(spark, sf, T.TRADE)).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "weight")
 
 
 @query()
 def compare_mst(spark: SparkSession, sf: str) -> DataFrame:
-    return mst.compare_mst_algorithms(_undirected(spark, sf, T.TRADE_SMALL))
+    return mst.compare_mst_algorithms(_undirected(spark, sf, T.TRADE))
 
 
-@query(_with(T.SUPPLIER_PART, BOTH, NODES, "r as (select id, id as c from v union select a.dst, r.c from r join adj a on a.src = r.id)", "l as (select id, min(c) as c from r group by 1)") + "select p.src, p.dst, a.c = b.c as connected from (select src, lead(src) over (order by src) as dst from (select distinct src from e)) p join l a on a.id = p.src join l b on b.id = p.dst")
+@query(_with(T.ORDER_CHAIN, BOTH, NODES, LABEL) + "select p.src, p.src + 32 as dst, a.c = b.c as connected from (select distinct src from e) p join lab a on a.id = p.src join lab b on b.id = p.src + 32")
 def union_find(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    pairs = T.table_rows(spark, sf, T.SUPPLIER_PART)
-    sets = mst.UnionFind(pairs.select(F.col("src").alias("id")).distinct()).union(pairs)
-    asked = pairs.select("src").distinct().select("src", F.lead("src").over(Window.orderBy("src")).alias("dst")).where("dst is not null")
-    return sets.connected(asked)
-
-
-_CUTS = f"with e as ({T.TRADE_SMALL}), m as (select i from range(0, 1024) t(i)), side as (select i, n, case when n = 0 then true when n = 11 then false else (i >> (n - 1)) & 1 = 1 end as s from m, range(0, 12) r(n)) select cast(min(c) as double) as value from (select a.i, sum(weight) as c from e join side a on a.n = e.src and a.s join side b on b.i = a.i and b.n = e.dst and not b.s group by 1)"
+    pairs = T.table_rows(spark, sf, T.ORDER_CHAIN)
+    sets = mst.UnionFind(pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct()).union(pairs)
+    asked = pairs.select("src", (F.col("src") + 32).alias("dst")).distinct().join(sets.elements.select(F.col("id").alias("dst")), "dst")
+    return sets.connected(asked.select("src", "dst"))
 
 
-@query(_CUTS)
-def max_flow(spark: SparkSession, sf: str) -> DataFrame:
-    return flows.ford_fulkerson(T.table_graph(spark, sf, T.TRADE_SMALL, directed=True), 0, 11)[0]
-
-
-@query(_CUTS)
-def min_cut(spark: SparkSession, sf: str) -> DataFrame:
-    return flows.min_cut(T.table_graph(spark, sf, T.TRADE_SMALL, directed=True), 0, 11)[0]
-
-
-@query()
-def max_flow_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return flows.ford_fulkerson(T.table_graph(spark, sf, T.TRADE_SMALL, directed=True), 0, 11)[1]
-
-
-# The same six on the whole trade graph, all nations; the flows have no SQL.
 def _whole(spark: SparkSession, sf: str):
     return T.table_graph(spark, sf, T.TRADE, directed=True)
 
 
 @query()
-def trade_max_flow(spark: SparkSession, sf: str) -> DataFrame:
+def max_flow(spark: SparkSession, sf: str) -> DataFrame:
     return flows.ford_fulkerson(_whole(spark, sf), 0, 11)[0]
 
 
 @query()
-def trade_min_cut(spark: SparkSession, sf: str) -> DataFrame:
+def min_cut(spark: SparkSession, sf: str) -> DataFrame:
     return flows.min_cut(_whole(spark, sf), 0, 11)[0]
 
 
 @query()
-def trade_max_flow_edges(spark: SparkSession, sf: str) -> DataFrame:
+def max_flow_edges(spark: SparkSession, sf: str) -> DataFrame:
     return flows.ford_fulkerson(_whole(spark, sf), 0, 11)[1]
 
 
-_WHOLE_TREE_SQL = _TREE_SQL.replace(T.TRADE_SMALL, T.TRADE)
-
-
-@query(_WHOLE_TREE_SQL)
-def trade_kruskals(spark: SparkSession, sf: str) -> DataFrame:
-    return mst.kruskals(_undirected(spark, sf, T.TRADE)).select("src", "dst", "weight")
-
-
-@query(_WHOLE_TREE_SQL)
-def trade_prims(spark: SparkSession, sf: str) -> DataFrame:
-    return mst.prims(_undirected(spark, sf, T.TRADE)).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "weight")
-
-
-@query()
-def trade_compare_mst(spark: SparkSession, sf: str) -> DataFrame:
-    return mst.compare_mst_algorithms(_undirected(spark, sf, T.TRADE))
-
-
 @query()
 def hopcroft_karp(spark: SparkSession, sf: str) -> DataFrame:
-    g = T.table_graph(spark, sf, T.CUSTOMER_SUPPLIER)
-    return flows.hopcroft_karp(g, g.nodes.where("id >= 2000000"), g.nodes.where("id < 2000000"))
+    g = T.table_graph(spark, sf, T.ORDER_PART)
+    return flows.hopcroft_karp(g, g.nodes.where("id >= 10000000"), g.nodes.where("id < 10000000"))
 
 
 _RANKS = _with(
-    T.TRADE_TOP, NODES, "o as (select src, count(*) as d from e group by 1)", "n as (select count(*) as n from v)",
-    "r as (select 0 as i, id, 1.0::double / n as s from v, n union all (select x.i + 1, v.id, 0.15 / any_value(n.n) + 0.85 * (any_value(x.lost) / any_value(n.n) + coalesce(sum(x.s / x.d) filter (x.dst = v.id), 0)) from v, n, (select r.i, r.s, o.d, e.dst, (select coalesce(sum(z.s), 0) from r z left join o y on y.src = z.id where y.d is null) as lost from r left join o on o.src = r.id left join e on e.src = r.id) x where x.i < 20 group by x.i, v.id))",
+    T.SURPLUS, NODES, "o as (select src, count(*) as d from e group by 1)", "n as (select count(*) as n from v)",
+    "r as (select 0 as i, id, 1.0::double / n as s, 1.0::double as moved from v, n union all (select i, id, s, sum(abs(s - old)) over () from (select x.i + 1 as i, v.id as id, any_value(x.s) filter (x.id = v.id) as old, 0.15 / any_value(n.n) + 0.85 * (any_value(x.lost) / any_value(n.n) + coalesce(sum(x.s / x.d) filter (x.dst = v.id), 0)) as s from v, n, (select r.i, r.id, r.s, r.moved, o.d, e.dst, (select coalesce(sum(z.s), 0) from r z left join o y on y.src = z.id where y.d is null) as lost from r left join o on o.src = r.id left join e on e.src = r.id) x where x.i < 100 and x.moved >= 1e-6 group by x.i, v.id)))",
 )
 
 
-@query(_RANKS + "select id, round(s, 9) as score from r where i = 20")
+@query(_RANKS + "select id, round(s, 9) as score from r where i = (select max(i) from r)")
 def pagerank(spark: SparkSession, sf: str) -> DataFrame:
-    scores, _, _ = centrality.pagerank(_trade(spark, sf), max_iterations=20, tolerance=0.0)
-    return scores.select("id", F.round("score", 9).alias("score"))
+    return centrality.pagerank(_trade(spark, sf))[0].select("id", F.round("score", 9).alias("score"))
 
 
-@query(_with(T.TRADE_TOP, DIRECTED, NODES, FEW, "c as (select id as s, id as t, 0 as k, cast(1 as double) as n from v union all (select c.s, a.dst, c.k + 1, sum(c.n) from c join adj a on a.src = c.t join few f on f.src = c.s and f.dst = a.dst and f.dist = c.k + 1 group by 1, 2, 3))", "w as (select x.t as id, sum(x.n * y.n / z.n) as b from c x join c y on y.s = x.t join c z on z.s = x.s and z.t = y.t and z.k = x.k + y.k where x.s <> x.t and y.t <> x.t and x.s <> y.t group by 1)", "n as (select count(*) as n from v)") + "select v.id, round(coalesce(w.b, 0) / ((n - 1) * (n - 2)), 9) as score from v cross join n left join w on w.id = v.id")
+@query(_with(T.SURPLUS, DIRECTED, NODES, FEW, "c as (select id as s, id as t, 0 as k, cast(1 as double) as n from v union all (select c.s, a.dst, c.k + 1, sum(c.n) from c join adj a on a.src = c.t join few f on f.src = c.s and f.dst = a.dst and f.dist = c.k + 1 group by 1, 2, 3))", "w as (select x.t as id, sum(x.n * y.n / z.n) as b from c x join c y on y.s = x.t join c z on z.s = x.s and z.t = y.t and z.k = x.k + y.k where x.s <> x.t and y.t <> x.t and x.s <> y.t group by 1)", "n as (select count(*) as n from v)") + "select v.id, round(coalesce(w.b, 0) / ((n - 1) * (n - 2)), 9) as score from v cross join n left join w on w.id = v.id")
 def betweenness(spark: SparkSession, sf: str) -> DataFrame:
     return centrality.betweenness_centrality(_trade(spark, sf)).select("id", F.round("score", 9).alias("score"))
 
 
-@query(_with(T.TRADE_TOP, DIRECTED, NODES, FEW, "n as (select count(*) as n from v)") + "select src as id, round(coalesce((count(*) - 1) / (any_value(n) - 1) * ((count(*) - 1) / nullif(sum(dist), 0)), 0), 9) as score from few, n group by 1")
+@query(_with(T.SURPLUS, DIRECTED, NODES, FEW, "n as (select count(*) as n from v)") + "select src as id, round(coalesce((count(*) - 1) / (any_value(n) - 1) * ((count(*) - 1) / nullif(sum(dist), 0)), 0), 9) as score from few, n group by 1")
 def closeness(spark: SparkSession, sf: str) -> DataFrame:
     return centrality.closeness_centrality(_trade(spark, sf)).select("id", F.round("score", 9).alias("score"))
 
 
-@query(_with(T.TRADE_TOP, NODES, "r as (select 0 as i, id, cast(1 as double) as s from v union all (select any_value(r.i) + 1, v.id, coalesce(sum(r.s) filter (e.dst = v.id), 0) from v, r left join e on e.src = r.id where r.i < 20 group by v.id))") + "select id, round(s / sqrt((select sum(s * s) from r where i = 20)), 7) as score from r where i = 20")
+_POWERS = _with(T.SURPLUS, NODES, "r as (select 0 as i, id, 1 / sqrt((select count(*) from v)) as s, 1.0::double as moved from v union all (select i, id, s, sum(abs(s - old)) over () from (select i, id, old, got / sqrt(sum(got * got) over ()) as s from (select any_value(r.i) + 1 as i, v.id as id, any_value(r.s) filter (r.id = v.id) as old, coalesce(sum(r.s) filter (e.dst = v.id), 0) as got from v, r left join e on e.src = r.id where r.i < 100 and r.moved >= 1e-6 group by v.id))))")
+
+
+@query(_POWERS + "select id, round(s, 7) as score from r where i = (select max(i) from r)")
 def eigenvector(spark: SparkSession, sf: str) -> DataFrame:
-    scores, _, _ = centrality.eigenvector_centrality(_trade(spark, sf), max_iterations=20, tolerance=0.0)
-    return scores.select("id", F.round("score", 7).alias("score"))
+    return centrality.eigenvector_centrality(_trade(spark, sf))[0].select("id", F.round("score", 7).alias("score"))
 
 
 @query(f"with e as ({T.COPURCHASE})" + " select src, dst, cast(weight as double) as weight from e")
@@ -279,10 +268,9 @@ def graph_counts(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(g.num_nodes(), g.num_edges(), less.num_nodes(), less.num_edges())], "nodes bigint, edges bigint, nodes_left bigint, edges_left bigint")
 
 
-@query(f"with e as ({T.TRADE_TOP})" + " select src, dst, cast(sum(weight) as double) as capacity from (select src, dst, weight from e union all select dst, src, weight from e) group by 1, 2")
+@query(_with(T.COPURCHASE, recursive=False).rstrip(", ") + " select src, dst, cast(sum(weight) as double) as capacity from (select src, dst, weight from e union all select dst, src, weight from e) group by 1, 2")
 def oriented_capacities(spark: SparkSession, sf: str) -> DataFrame:
-    rows = T.table_rows(spark, sf, T.TRADE_TOP)
-    return rows.unionAll(rows.select(F.col("dst"), F.col("src"), "weight")).groupBy("src", "dst").agg(F.sum(F.col("weight").cast("double")).alias("capacity"))
+    return T.table_graph(spark, sf, T.COPURCHASE).oriented_capacities()
 
 
 @query("with g as (select i as id, i % 12 as c, i // 12 as r from range(0, 144) t(i)) select id as src, id + 1 as dst from g where c < 11 union all select id, id + 12 from g where r < 11")

@@ -8,16 +8,14 @@ from ..graph import Graph
 
 COPURCHASE = """select a.l_partkey as src, b.l_partkey as dst, count(*) as weight from lineitem a join lineitem b
  on a.l_orderkey = b.l_orderkey and a.l_partkey < b.l_partkey where a.l_quantity >= 41 and b.l_quantity >= 41 group by 1, 2"""
-SUPPLIER_PART = "select distinct l_suppkey as src, 1000000 + l_partkey as dst, 1 as weight from lineitem where l_returnflag = 'R' and l_quantity >= 49"
-CUSTOMER_SUPPLIER = """select distinct 2000000 + o_custkey as src, l_suppkey as dst, 1 as weight from orders join lineitem on l_orderkey = o_orderkey
- where l_quantity >= 50 and l_discount >= 0.09"""
-_TRADE = """select cast(s_nationkey as bigint) as src, cast(c_nationkey as bigint) as dst, cast(sum(l_quantity) as bigint) as weight
+SUPPLIER_PART = "select distinct l_suppkey as src, 1000000 + l_partkey as dst, 1 as weight from lineitem"
+ORDER_PART = "select distinct 10000000 + l_orderkey as src, l_partkey as dst, 1 as weight from lineitem"
+TRADE = """select cast(s_nationkey as bigint) as src, cast(c_nationkey as bigint) as dst, cast(sum(l_quantity) as bigint) as weight
  from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey
- where s_nationkey <> c_nationkey {also} group by 1, 2"""
-TRADE_TOP = f"""select src, dst, weight from (select *, row_number() over (partition by src order by weight desc, dst) as rn
- from ({_TRADE.format(also="")}) t) r where rn <= 3"""
-TRADE = _TRADE.format(also="")
-TRADE_SMALL = _TRADE.format(also="and s_nationkey < 12 and c_nationkey < 12")
+ where s_nationkey <> c_nationkey group by 1, 2"""
+#: From the nation that sells the other more than it buys from it.
+SURPLUS = f"""select a.src, a.dst, a.weight - coalesce(b.weight, 0) as weight from ({TRADE}) a left join ({TRADE}) b
+ on b.src = a.dst and b.dst = a.src where a.weight > coalesce(b.weight, 0)"""
 ORDER_CHAIN = """select o_orderkey as src, nx as dst, cast(round((np - o_totalprice) * 100) as bigint) as weight from (
  select o_orderkey, o_totalprice, lead(o_orderkey) over w as nx, lead(o_totalprice) over w as np from orders
  window w as (partition by o_custkey order by o_orderdate, o_orderkey)) t where nx is not null"""
@@ -31,4 +29,4 @@ def table_rows(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
 
 def table_graph(spark: SparkSession, sf_dir: str, sql: str, directed: bool = False, weighted: bool = True) -> Graph:
-    return Graph.from_edges(table_rows(spark, sf_dir, sql), directed, weighted)
+    return Graph.from_edges(table_rows(spark, sf_dir, sql), directed, weighted, ordered=False)
