@@ -39,13 +39,16 @@ def _plain_end(word: bytes) -> bool:
     return last.isalpha() and last.lower() == last
 
 
-def _words(text: str) -> list[bytes]:
+def _words(texts: list[bytes]) -> list[list[bytes]]:
     """Lower-cased words; a lone mark that ends one after a letter or digit is a piece, and so a word, of its own."""
-    raw = np.frombuffer(b"  " + text.encode().translate(TABLE) + b" ", np.uint8)
+    raw = np.frombuffer(b"  " + b" ".join(texts).translate(TABLE) + b" ", np.uint8)
     ends = np.flatnonzero(_IS["end"][raw[:-1]])
     ends = ends[_IS["blank"][raw[ends + 1]]]
     ends = ends[_IS["plain"][raw[ends - 1]] | (raw[ends - 2] == 0xC3) & _IS["accent"][raw[ends - 1]]]
-    return np.insert(raw, ends, 32).tobytes().split()
+    data = np.insert(raw, ends, 32).tobytes()
+    starts = 2 + np.cumsum([0, *(len(t) + 1 for t in texts)])
+    starts = (starts + np.searchsorted(ends, starts)).tolist()
+    return [data[a:b].split() for a, b in zip(starts, starts[1:])]
 
 
 class WordCoder:
@@ -69,24 +72,23 @@ class WordCoder:
     def _known(self, words: set[bytes]) -> set[bytes]:
         """Moves what the old generation knows of ``words`` to the young one; returns the rest."""
         new = words.difference(self.cache)
-        again = new.intersection(self.old)
+        again = new.difference(new.difference(self.old))
         self.cache.update(zip(again, map(self.old.__getitem__, again)))
         return new - again
 
     def _learn(self, words: set[bytes]) -> None:
-        split, new = [], set()
-        for w in self._known(words):
-            core = w.rstrip(MARKS)
-            if len(core) == len(w) or not core or not (97 <= core[-1] <= 122 or core[-1] > 127 and _plain_end(core)):
-                new.add(w)
+        letters, rest, split, cores = [], [], [], set()
+        for w, alone in self._told(self._known(words)):
+            core = w if alone else w.rstrip(MARKS)
+            if alone:
+                letters.append(w)
+            elif len(core) == len(w) or not core or not (97 <= core[-1] <= 122 or core[-1] > 127 and _plain_end(core)):
+                rest.append(w)
             else:
-                tail = w[len(core) :]
-                split.append((w, core, tail))
-                new.add(core)
-                new.add(tail)
-        letters, rest = [], []
-        for w in self._known(new):
-            (letters if w.isalpha() or not w.isascii() and w.decode().isalpha() else rest).append(w)
+                split.append((w, core, w[len(core) :]))
+                cores.update(split[-1][1:])
+        for w, alone in self._told(self._known(cores).difference(letters, rest)):
+            (letters if alone else rest).append(w)
         for first in range(0, len(letters), RUN_WORDS):
             run = letters[first : first + RUN_WORDS]
             got = self.tokenizer.encode(b" ".join(run).decode(), add_special_tokens=False)
@@ -94,18 +96,23 @@ class WordCoder:
             if len(ends) != len(run):  # lower-casing made something else than letters of a word
                 rest += run
                 continue
-            raw, at = np.array(got.ids, "<u4").tobytes(), 0
-            for w, end in zip(run, (4 * ends).tolist()):
-                self.cache[w] = raw[at:end]
-                at = end
+            raw, ends = np.array(got.ids, "<u4").tobytes(), (4 * ends).tolist()
+            self.cache.update(zip(run, [raw[a:b] for a, b in zip([0, *ends], ends)]))
         for w, e in zip(rest, self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)):
             self.cache[w] = np.array(e.ids, "<u4").tobytes()
         for w, core, tail in split:
             self.cache[w] = self.cache[core] + self.cache[tail]
 
+    @staticmethod
+    def _told(words: set[bytes]):
+        """Words with whether they are letters alone."""
+        words = list(words)
+        return zip(words, map(str.isalpha, b" ".join(words).decode().split(" "))) if words else ()
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        raw = [(t or "").encode() for t in texts]
         # Special tokens' strings are found in the raw text before it is cut into words.
-        words = [None if t and "<|" in t else _words(t or "") for t in texts]
+        words = [None if b"<|" in t else w for t, w in zip(raw, _words(raw))]
         if len(self.cache) > CACHE_WORDS:
             self.cache, self.old = {}, self.cache
         self._learn(set().union(*(w for w in words if w)))
