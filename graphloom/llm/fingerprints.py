@@ -7,7 +7,9 @@ hashes are 32 bits, positions count bytes of the UTF-8 text.
 
 Odd input: null texts count as empty and have an empty fingerprint; a text shorter than a gram is one gram, a
 text with fewer grams than a window is one window. Two empty fingerprints are alike (1.0), an empty and another
-one are not (0.0). Rows that repeat a ``doc_id`` follow each other by text; rows without one come last.
+one are not (0.0). Rows that repeat a ``doc_id`` follow each other by text; rows without one come last; a very long
+text is selected from in pieces that overlap by a window, with the same result; an empty table gives no rows;
+other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -110,7 +112,8 @@ def with_successor(docs: DataFrame) -> DataFrame:
 
     The order is by descending ``doc_id``; after the last row comes the first. There are twice as many buckets
     as shuffle partitions, however large the table is; their bounds are quantiles of ``doc_id``, and only each
-    bucket's largest id meets the driver. Buckets are sorted (and spilled) by Spark and never held as a whole.
+    bucket's largest id meets the driver. Each bucket is a partition of its own, sorted (and spilled) by Spark and
+    never held as a whole.
     """
     spark = docs.sparkSession
     bound_batches(spark)
@@ -126,7 +129,7 @@ def with_successor(docs: DataFrame) -> DataFrame:
     sent = docs.join(F.broadcast(targets), "rank", "left")
     both = F.array(F.struct(F.col("bucket"), F.lit(False).alias("guest")), F.struct(F.col("target").alias("bucket"), F.lit(True).alias("guest")))
     out = sent.select("doc_id", "rank", "text", F.explode(F.filter(both, lambda x: x["bucket"].isNotNull())).alias("to")).select("doc_id", "rank", "text", "to.bucket", "to.guest")
-    return out.repartition("bucket").sortWithinPartitions("bucket", "guest", F.desc("rank"), "text")
+    return out.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", "guest", F.desc("rank"), "text")
 
 
 def compared_with_edits(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:

@@ -4,8 +4,9 @@ Best-fit decreasing runs over the counts of each length and not over documents,
 is bounded by the sequence length. Pieces learn their rank within their length (ranks inside a written
 part, plus the parts before it) and take the planned slot of that rank.
 
-Odd input: null and empty texts are the end token alone; rows that repeat an id are packed one by one; an
-empty table gives no rows; other columns are ignored.
+Odd input: null and empty texts are the end token alone; rows that repeat an id are packed one by one; a very
+long text is as many whole pieces as it takes and one more; an empty table gives no rows; other columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations

@@ -11,8 +11,9 @@ the last one updated. The contexts of a key meet in one task for that, unless th
 spread by a 128-bit fingerprint of the string itself.
 
 Results for odd input: null or short texts lose nothing; rows with one ``doc_id`` count as one document,
-equal strings at equal starts of such rows both stay; a null ``doc_id`` ranks after all others; other
-columns are ignored by :func:`repeated_spans` and kept by :func:`drop_repeats`.
+equal strings at equal starts of such rows both stay; a null ``doc_id`` ranks after all others; a very long text
+is hashed in pieces that overlap by a string less a byte, so nothing at a border is missed; an empty table gives no
+rows; other columns, whatever their names, are ignored by :func:`repeated_spans` and kept by :func:`drop_repeats`.
 """
 
 from __future__ import annotations
@@ -163,7 +164,7 @@ def _table(rows: list[tuple]) -> pa.Table:
     return pa.table({"part": pa.array(part, pa.int32()), "block": pa.array(block, pa.int32()), "kind": pa.array(kind, pa.int32()), "blob": pa.array(blob, pa.binary())})
 
 
-def _send_keys(parts: int, length: int):
+def _send_keys(parts: int, length: int, hot: int):
     def run(table: pa.Table) -> pa.Table:
         block = table["block"][0].as_py()
         _, ids, data, offsets = _block(table)
@@ -174,14 +175,18 @@ def _send_keys(parts: int, length: int):
         first = _heads(key, context)
         key, context, doc, lo = key[first], context[first], doc[first], lo[first]
         own = _leaders(_heads(key))
-        many = (np.bincount(own, minlength=len(own))[own] > HOT_CONTEXTS // 4).astype(np.uint8)
+        many = (np.bincount(own, minlength=len(own))[own] > hot // 4).astype(np.uint8)
         keep = np.arange(len(key)) - own < 2
         return _table(_routed((key[keep] % U64(parts)).astype(np.int32), 0, block, tuple(c[keep] for c in (key, context, doc, lo, many))))
 
     return run
 
 
-def _meet_keys(table: pa.Table) -> pa.Table:
+def _meet_keys(hot: int):
+    return lambda table: _met_keys(table, hot)
+
+
+def _met_keys(table: pa.Table, most: int) -> pa.Table:
     blobs, blocks = table["blob"].to_pylist(), table["block"].to_numpy()
     block = np.repeat(blocks, [int.from_bytes(b[:8], "little") for b in blobs])
     columns = unpack(blobs, KEYS)
@@ -194,7 +199,7 @@ def _meet_keys(table: pa.Table) -> pa.Table:
     groups, sizes = np.unique(by_key, return_counts=True)
     last = groups + sizes - 1
     several = np.repeat(context[groups] != context[last], sizes)
-    hot = np.repeat((sizes > HOT_CONTEXTS) | (np.add.reduceat(many, groups, dtype=np.int64) > 0 if len(groups) else sizes > 0), sizes)
+    hot = np.repeat((sizes > most) | (np.add.reduceat(many, groups, dtype=np.int64) > 0 if len(groups) else sizes > 0), sizes)
     code = later.astype(np.uint8) | (several.astype(np.uint8) << np.uint8(1)) | ((several & hot).astype(np.uint8) << np.uint8(2))
     said = code > 0
     return _table([(p, p, 0, b) for p, _, _, b in _routed(block[said], 0, 0, (key[said], context[said], code[said]))])
@@ -347,23 +352,26 @@ def _finish(length: int, shape):
     return run
 
 
-def _over_blocks(docs: DataFrame, length: int, shape, schema: str) -> DataFrame:
+def _over_blocks(docs: DataFrame, length: int, shape, schema: str, hot: int) -> DataFrame:
     spark = docs.sparkSession
     bound_batches(spark)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     least = shuffle_partitions(spark)
     n_blocks = max(4 * least, -(-total // BLOCK_BYTES))
     parts = max(least, -(-total // (BLOCK_BYTES // 4)))
-    blocks = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).cast("int"))
-    keys = blocks.groupBy("block").applyInArrow(_send_keys(parts, length), ROUTED)
-    replies = keys.groupBy("part").applyInArrow(_meet_keys, ROUTED)
+    blocks = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int"))
+    keys = blocks.groupBy("block").applyInArrow(_send_keys(parts, length, hot), ROUTED)
+    replies = keys.groupBy("part").applyInArrow(_meet_keys(hot), ROUTED)
     settled = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_settle(parts, length), ROUTED)
     flagged = settled.groupBy("part").applyInArrow(_meet_classes(length), ROUTED)
     return blocks.groupBy("block").cogroup(flagged.groupBy("block")).applyInArrow(_finish(length, shape), schema)
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed runs of each row (needs doc_id, text)."""
+def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT_CONTEXTS) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed runs of each row (needs doc_id, text).
+
+    ``hot``: contexts beyond which a key is settled by fingerprints of its strings in many tasks; results are the same.
+    """
 
     def shape(table, kept, spans):
         sizes = [sum(e - s for s, e in own) for own in spans]
@@ -377,7 +385,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         })
 
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, removed array<struct<start: bigint, end: bigint>>"
-    return _over_blocks(docs.select(F.col("doc_id").cast("long"), "text"), length, shape, schema)
+    return _over_blocks(docs.select(F.col("doc_id").cast("long"), "text"), length, shape, schema, hot)
 
 
 def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -399,7 +407,7 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             table = table.set_column(1, "text", pa.array(new, table["text"].type))
         return table.cast(pa.schema([pa.field(f.name, table.schema.field(f.name).type) for f in schema]))
 
-    out = _over_blocks(inner, length, shape, inner.schema)
+    out = _over_blocks(inner, length, shape, inner.schema, HOT_CONTEXTS)
     out = out.select("doc_id", "text", *[F.col(f"c{i}").alias(c) for i, c in enumerate(named)])
     if "n_chars" in named:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))

@@ -46,15 +46,29 @@ def test_repeats_match_brute_force(spark, texts):
         runs = sum(1 for i, g in enumerate(gone) if g and not (i and gone[i - 1]))
         want[doc] = (len(raw), sum(gone), runs, hashlib.sha256(bytes(c for c, g in zip(raw, gone) if not g)).hexdigest())
     for limit in (suffix_dedup.HOT_CONTEXTS, 4):
-        old, suffix_dedup.HOT_CONTEXTS = suffix_dedup.HOT_CONTEXTS, limit
-        got = suffix_dedup.repeated_spans(documents(spark, texts)).collect()
-        suffix_dedup.HOT_CONTEXTS = old
+        got = suffix_dedup.repeated_spans(documents(spark, texts), hot=limit).collect()
         assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
+    odd = [(None, "q" * 150), (None, "q" * 150), (4, "p" * 300), (4, "p" * 300), (5, "p" * 120)]
+    got = Counter((r.doc_id, r.n_removed) for r in suffix_dedup.repeated_spans(documents(spark, odd)).collect())
+    assert got == Counter([(None, 149), (None, 149), (4, 299), (4, 299), (5, 120)])
+    assert suffix_dedup.repeated_spans(documents(spark, [])).count() == 0
     kept = suffix_dedup.drop_repeats(documents(spark, texts))
     assert kept.columns == documents(spark, texts).columns and kept.count() == len(texts)
     assert kept.where("doc_id = 9001").first()["text"] is None
 
 
+def test_long_texts_in_pieces_have_the_same_anchors():
+    rng = random.Random(2)
+    raw = np.frombuffer(bytes(rng.choice(b"abc") for _ in range(7000)), np.uint8)
+    bounds = np.array([0, 150, 5000, 5050, 7000])
+    found, old = [], suffix_dedup.SEGMENT
+    for suffix_dedup.SEGMENT in (old, 200):  # the second one cuts texts of over 800 bytes
+        key, _, row, lo, hi = suffix_dedup._anchors(raw, bounds, 100)
+        found.append({(r, w, k) for k, r, a, b in zip(key.tolist(), row.tolist(), lo.tolist(), hi.tolist()) for w in range(a, b + 1)})
+    suffix_dedup.SEGMENT = old
+    assert found[0] == found[1] and {(r, w) for r, w, _ in found[0]} == {(r, w) for r in (0, 1, 3) for w in range(bounds[r + 1] - bounds[r] - 99)}
+
+
 def test_refinement_classes_are_exact():
     rng = random.Random(1)
     data = np.frombuffer("".join(rng.choice(["abc" * 50, "x" * 130, "q", "abca"]) for _ in range(60)).encode(), np.uint8)
@@ -180,7 +194,37 @@ def test_winnowing(spark, texts):
         r = got[d]
         assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256((t[: len(t) - k] + later[:k]).encode()).hexdigest()
         assert 0 <= r.near_edited <= 1 and (t != later or r.near_next == 1)
+    def plain(text, gram=fingerprints.GRAM, window=fingerprints.WINDOW):
+        """Selected (hash, place) pairs, window by window; the rightmost of equal least hashes."""
+        raw = np.frombuffer(text.encode(), np.uint8)
+        h = (fingerprints.rolling_hashes(raw, gram) >> np.uint64(24)).tolist()
+        if not h:
+            return None
+        picks = {max(i for i in range(s, s + min(window, len(h))) if h[i] == min(h[s : s + window])) for s in range(max(1, len(h) - window + 1))}
+        return [(h[i] >> 8, i) for i in sorted(picks)]
+
+    def decoded(f):
+        return [(int(f[i : i + 8], 16), int(f[i + 8 : i + 16], 16)) for i in range(0, len(f), 16)]
+
+    for (d, t), (_, later) in zip(order, order[1:] + order[:1]):
+        k, sides = len(t) // 3, []
+        for text, own in ((t, got[d].fingerprint), (t[: len(t) - k] + later[:k], got[d].edited_fingerprint)):
+            want = plain(text)
+            assert decoded(own) == want if want is not None else len(own) == 16 * bool(text)
+            sides.append({h for h, _ in decoded(own)})
+        both = sides[0] | sides[1]
+        assert got[d].near_edited == (len(sides[0] & sides[1]) / len(both) if both else 1.0)
     assert got[9001].fingerprint == got[9002].fingerprint == ""
+    odd = [(None, "z" * 90), (7, "one two " * 20), (7, "one two " * 20), (None, None), (8, "x")]
+    rows = fingerprints.compared_with_edits(documents(spark, odd)).collect()
+    assert Counter((r.doc_id, r.n_chars) for r in rows) == Counter((d, len(t or "")) for d, t in odd)
+    assert fingerprints.compared_with_edits(documents(spark, [])).count() == 0
+    long, old = bytes(random.Random(6).choice(b"ab") for _ in range(9000)), fingerprints.LONG
+    whole = fingerprints.winnow([long])[0]
+    fingerprints.LONG = 1000
+    parts = fingerprints.winnow([long])[0]
+    fingerprints.LONG = old
+    assert all((a == b).all() for a, b in zip(whole, parts))
     raw = bytes(random.Random(3).choice(b"abcd") for _ in range(700))
     pos, _ = fingerprints.winnow([raw], 5, 4)[0]
     h = fingerprints.rolling_hashes(np.frombuffer(raw, np.uint8), 5) >> np.uint64(24)
@@ -322,6 +366,11 @@ def test_urls(spark):
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(pages).collect()}
     assert got[0] == ("", "", None, "allow") and got[1] == ("", "", None, "block")
     assert got[2] == ("a.example.com", "/en/7", "example.com/en/7", "allow") and got[3][2:] == ("com/en/", "block")
+    odd = pages.unionByName(pages).unionByName(spark.createDataFrame([(None, "http://x.com/en/" + "y" * 2_000_000, "h")], pages.schema))
+    rows = url_filter.judge_urls(odd).collect()
+    assert Counter(r.page_id for r in rows) == Counter([*range(len(urls))] * 2 + [None])
+    assert all((r.host, r.path, r.rule, r.verdict) == got[r.page_id] for r in rows if r.page_id is not None)
+    assert [r.verdict for r in rows if r.page_id is None] == ["block"] and url_filter.judge_urls(pages.where("false")).count() == 0
     assert got[4][2:] == ("example.net/de/8", "block") and got[5][3] == "allow" and got[6][3] == "block" and got[7][3] == "allow"
 
 
