@@ -542,3 +542,38 @@ def test_repeated_words_need_little_memory(spark):
     got = {(r.doc_id, r.item_id) for r in decontamination.leaks(docs, bench).collect()}
     assert got == {*((1, i) for i in range(20)), (2, 40)}
     assert decontamination.leaks(docs.where("false"), bench).count() == 0
+
+
+def test_recall_on_shared_documents(spark):
+    """Every link of the documents whose id is divisible by 50, against all rows by full sets."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = {r.doc_id: r.text for r in table.select("doc_id", "text").collect()}
+    sets = {}
+    for d, t in rows.items():
+        w = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().translate(bytes(LOWER)))
+        sets[d] = {tuple(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) >= 3 else {tuple(w)} - {()}
+    got = {r.doc_id: r.component_id for r in minhash.near_groups(table, minhash.NearRule(words=3, percent=85, rows=5)).collect()}
+    links = [(a, b) for a in rows if a % 50 == 0 for b in rows if a != b and sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    assert got.keys() == rows.keys() and all(got[a] == got[b] for a, b in links)
+
+
+def test_languages_of_shared_documents(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    judged = queries.op8_language_id(spark, "/root/testdata/sf0.01").join(table.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null and lang_pred != 'und'")
+    right = judged.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0]
+    assert right >= 0.99
+
+
+@pytest.mark.parametrize("n", [400, 1600])
+def test_family_just_under_the_threshold(spark, n):
+    """Pairs that all stay below it give no links; rows that leave a block grow with the documents."""
+    rng = np.random.default_rng(1)
+    rows = []
+    for i in range(n):
+        w = [f"b{k}" for k in range(300)]
+        for p in rng.choice(300, 9, replace=False).tolist():
+            w[p] = f"u{i}x{p}"
+        rows.append((i, " ".join(w)))
+    near = [(n + i, rows[i][1] + " end") for i in range(0, n, 10)]
+    got = {r.doc_id: r.component_id for r in minhash.near_groups(documents(spark, rows + near), minhash.NearRule(words=3, percent=85, rows=5, block=256)).collect()}
+    assert got == {**{i: i for i in range(n)}, **{n + i: i for i in range(0, n, 10)}}
