@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontamination, fingerprints, html_extraction, language, minhash, packing, sharding, suffix_dedup, tool_calls, url_filter
+from .oracles import ORACLE
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -59,5 +60,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_read(spark, sf_dir, "documents"))
 
 
+__all__ = ["ORACLE", "QUERIES"]
 QUERIES = {q.__name__: q for q in (op1_url_filter, op2_suffix_dedup, op3_best_fit_packing, op4_tool_calls, op5_minhash_near_dedup, op6_winnowing, op7_decontamination, op8_language_id, op9_html_extraction, op10_sharding)}
-ORACLE = {"op1_url_filter": url_filter.verdict_sql()}
