@@ -184,11 +184,6 @@ def prims(spark: SparkSession, sf: str) -> DataFrame:
     return mst.prims(_undirected(spark, sf, T.TRADE)).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "weight")
 
 
-@query()
-def compare_mst(spark: SparkSession, sf: str) -> DataFrame:
-    return mst.compare_mst_algorithms(_undirected(spark, sf, T.TRADE))
-
-
 @query(_with(T.ORDER_CHAIN, BOTH, NODES, LABEL) + "select p.src, p.src + 32 as dst, a.c = b.c as connected from (select distinct src from e) p join lab a on a.id = p.src join lab b on b.id = p.src + 32")
 def union_find(spark: SparkSession, sf: str) -> DataFrame:
     pairs = T.table_rows(spark, sf, T.ORDER_CHAIN)
