@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..graph import Graph
@@ -31,13 +31,13 @@ def _pairs(spark: SparkSession, n: int, p: float, directed: bool, seed: int) ->
     if p >= 1:
         drawn = nodes.select("src", F.explode(F.sequence(first, F.lit(n - 1).cast("long"))).alias("dst")) if directed else nodes.where(F.col("src") < n - 1).select("src", F.explode(F.sequence(first, F.lit(n - 1).cast("long"))).alias("dst"))
         return drawn.where("src != dst")
-    # Enough gaps to pass the span with overwhelming probability; those beyond it are cut off below.
+    # The expected number of gaps and twelve standard deviations and more: the chance that a node's gaps end before
+    # its span, so that its last pairs are never drawn, is below 1e-30. Gaps beyond the span are cut off.
     most = (span * p + 12 * F.sqrt(span * p * (1 - p)) + 24).cast("int")
     tries = nodes.select("src", span.alias("span"), first.alias("first"), F.explode(F.sequence(F.lit(1), most)).alias("k"))
     gap = F.floor(F.log1p(-_uniform(seed, F.col("src"), F.col("k"))) / F.lit(log1p(-p))) + 1
-    packed = tries.groupBy("src", "span", "first").agg(F.array_sort(F.collect_list(F.struct("k", gap.alias("gap")))).alias("gaps"))
-    steps = F.aggregate("gaps", F.array().cast("array<bigint>"), lambda acc, g: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0).cast("long")) + g["gap"])))
-    return packed.select("src", "span", "first", F.explode(steps).alias("at")).where("at <= span").select("src", (F.col("first") + F.col("at") - 1).alias("dst")).where("src != dst")
+    at = F.sum(gap).over(Window.partitionBy("src").orderBy("k"))
+    return tries.withColumn("at", at).where("at <= span").select("src", (F.col("first") + F.col("at") - 1).alias("dst")).where("src != dst")
 
 
 def random_graph(spark: SparkSession, n: int, p: float, directed: bool = False, weighted: bool = False, seed: int = 0) -> Graph:
