@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import component_labels
-from ..plans import Scratch, bound_batches
+from ..plans import Scratch, bound_batches, shuffle_partitions
 from .kernels import LANES, LOWER, U64, _odd, batches, mix, shingle_hashes, text_bytes, word_hashes
 
 
@@ -275,10 +275,12 @@ def near_groups(docs: DataFrame, rule: NearRule = NearRule()) -> DataFrame:
     mixed = scratch.save(mixed.select("key", "blocks"), "mixed")
     spread = placed.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select("band", "key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "component")
+    # By number, so that small but slow blocks are not put together by their bytes.
+    dealt = lambda df: df.repartition(shuffle_partitions(spark), "key", "x", "y").groupBy("key", "x", "y")
     blocks = spread.join(members, "id")
-    named = scratch.save(blocks.groupBy("key", "x", "y").applyInArrow(_with_candidates(rule), "band int, key bigint, x int, y int, side int, id bigint"), "named")
+    named = scratch.save(dealt(blocks).applyInArrow(_with_candidates(rule), "band int, key bigint, x int, y int, side int, id bigint"), "named")
     own = members.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    decided = named.join(own, "id").join(sets, "id").groupBy("key", "x", "y").applyInArrow(_joined(rule), "a bigint, b bigint")
+    decided = dealt(named.join(own, "id").join(sets, "id")).applyInArrow(_joined(rule), "a bigint, b bigint")
     late = scratch.save(decided, "late")
     # Late links join whole components, so only these are labelled anew.
     label = comp.withColumnRenamed("component", "c")
