@@ -100,12 +100,21 @@ class Graph:
         ids = [v for e in edges for v in e[:2]] + [n[0] if isinstance(n, tuple) else n for n in nodes or []]
         text = any(isinstance(v, str) for v in ids)
         kind, own = ("string", str) if text else ("bigint", int)
-        rows = spark.createDataFrame([(own(e[0]), own(e[1]), float(e[2]) if len(e) > 2 else 1.0, i) for i, e in enumerate(edges)], f"src {kind}, dst {kind}, weight double, pos bigint")
-        listed = None
-        if nodes is not None:
-            full = [n if isinstance(n, tuple) else (n, None, None) for n in nodes]
-            listed = spark.createDataFrame([(own(n), i, x, y) for i, (n, x, y) in enumerate(full)], f"id {kind}, pos bigint, x double, y double")
-        return Graph.from_edges(rows, directed, weighted, listed)
+        at: dict = {}  # node: its coordinates, in order of nodes
+        for n in nodes or []:
+            at[own(n[0] if isinstance(n, tuple) else n)] = tuple(n[1:3]) if isinstance(n, tuple) else (None, None)
+        made: dict = {}  # pair: place, ends as they came first, last weight
+        for i, e in enumerate(edges):
+            u, v = own(e[0]), own(e[1])
+            for end in (u, v):
+                at.setdefault(end, (None, None))
+            pair = (u, v) if directed or u <= v else (v, u)
+            made[pair] = (*made.get(pair, (i, u, v))[:3], float(e[2]) if weighted and len(e) > 2 else 1.0)
+        pos = {n: k for k, n in enumerate(at)}
+        turned = [(i, u, v, w) if directed or pos[u] <= pos[v] else (i, v, u, w) for i, u, v, w in made.values()]
+        turned.sort(key=lambda e: (pos[e[1]], e[0]))
+        nodes_df = spark.createDataFrame([(n, k, *map(lambda c: None if c is None else float(c), at[n]), None) for n, k in pos.items()], f"id {kind}, node_pos bigint, x double, y double, attrs {ATTRS}")
+        return Graph(nodes_df, spark.createDataFrame([(u, v, w, k, i) for k, (i, u, v, w) in enumerate(turned)], f"src {kind}, dst {kind}, weight double, edge_pos bigint, nbr_pos bigint"), directed, weighted)
 
     # Changing
 
