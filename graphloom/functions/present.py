@@ -12,8 +12,15 @@ ROLE_PRIORITY = {"current": 100, "source_side": 85, "sink_side": 85, "path": 80,
 
 
 def coerce_id(text: Column) -> Column:
-    """Digits as a number, else null."""
-    return F.when(F.trim(text).rlike(r"^-?\d+$"), F.trim(text).cast("long"))
+    """(number, text): digits as a number, anything else as the trimmed text; both null for a null."""
+    own = F.trim(text)
+    digits = own.rlike(r"^-?\d+$")
+    return F.struct(F.when(digits, own.try_cast("bigint")).alias("number"), F.when(~digits, own).alias("text"))
+
+
+def next_side(side: Column) -> Column:
+    """The side that a node is on after its turn: none, left, right, none."""
+    return F.when(side == "left", "right").when(side == "right", "none").otherwise("left")
 
 
 def parse_ids(text: Column) -> Column:

@@ -151,6 +151,12 @@ class Graph:
     def add_edges(self, edges: DataFrame) -> Graph:
         return self._rebuilt(more_edges=edges)
 
+    def with_flags(self, directed: bool, weighted: bool) -> Graph:
+        """The same rows under other flags: pairs that come to be one edge merge, weights go where they do not count."""
+        own = self.ordered()
+        rows = own.edges.select("src", "dst", "weight", F.col("nbr_pos").alias("pos"))
+        return Graph.from_edges(rows, directed, weighted, own.nodes.select("id", F.col("node_pos").alias("pos"), "x", "y", "attrs"))
+
     def remove_node(self, node) -> Graph:
         return replace(self, nodes=self.nodes.where(F.col("id") != F.lit(node)), edges=self.edges.where((F.col("src") != F.lit(node)) & (F.col("dst") != F.lit(node))))
 
@@ -231,6 +237,10 @@ class Graph:
         if node is None or self.nodes.where(F.col("id") == F.lit(node)).isEmpty():
             raise ValueError(f"{what} {node!r} is not in the graph")
 
+    def ensure_new(self, node) -> None:
+        if not self.nodes.where(F.col("id").cast("string") == F.lit(str(node))).isEmpty():
+            raise ValueError(f"Node {node} already exists")
+
     def ensure_non_negative(self) -> None:
         if not self.edges.where("weight < 0").isEmpty():
             raise ValueError("negative edge weights are not allowed here")
@@ -239,6 +249,12 @@ class Graph:
         if self.directed != directed:
             raise ValueError(f"{what} needs {'a directed' if directed else 'an undirected'} graph")
 
+    @staticmethod
+    def entered_weight(weight: Column) -> Column:
+        """The weight of an edge entered by hand: one for nothing, zero and what is no number."""
+        own = weight.try_cast("double")
+        return F.when(own.isNull() | F.isnan(own) | (own == 0), F.lit(1.0)).otherwise(own)
+
     def is_weighted(self) -> bool:
         return self.weighted and not self.edges.where("weight != 1").isEmpty()
 

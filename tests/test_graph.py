@@ -174,3 +174,27 @@ def test_flow_and_tree_of_the_whole_trade_graph(spark):
             root = {n: new if r == old else r for n, r in root.items()}
     for name in ("trade_kruskals", "trade_prims"):
         assert {tuple(r) for r in Q.QUERIES[name](spark, sf).collect()} == want
+
+
+def test_entered_by_hand(spark):
+    rows = spark.createDataFrame([(" 12 ", "0", "none"), ("-3", "x", "left"), ("a1", "2.5", "right"), (None, None, "none")], "t string, w string, side string")
+    got = rows.select(present.coerce_id(F.col("t")).alias("id"), Graph.entered_weight(F.col("w")).alias("w"), present.next_side(F.col("side")).alias("side")).collect()
+    assert [(r.id.number, r.id.text, r.w, r.side) for r in got] == [(12, None, 1.0, "left"), (-3, None, 1.0, "right"), (None, "a1", 2.5, "none"), (None, None, 1.0, "left")]
+    g = Graph.of(spark, [(0, 1, 2.0), (1, 0, 5.0)], directed=True, weighted=True)
+    assert [(r.src, r.dst, r.weight) for r in g.with_flags(False, True).edges.collect()] == [(0, 1, 5.0)]
+    assert {r.weight for r in g.with_flags(True, False).edges.collect()} == {1.0}
+    with pytest.raises(ValueError):
+        g.ensure_new("1")
+    g.ensure_new(2)
+
+
+def test_directed_colouring_walks_forwards_in_order(spark):
+    assert not traversal.is_bipartite(Graph.of(spark, [(1, 0)], directed=True, nodes=[0, 1]))
+    assert traversal.is_bipartite(Graph.of(spark, [(0, 1)], directed=True, nodes=[0, 1]))
+
+
+def test_positions_on_demand_are_the_usual_ones(spark):
+    rows = spark.createDataFrame([(3, 1, 2.0), (0, 3, 1.0), (1, 3, 9.0), (2, 2, 4.0)], "src long, dst long, weight double")
+    usual, late = Graph.from_edges(rows, False, True), Graph.from_edges(rows, False, True, ordered=False)
+    assert sorted(map(tuple, late.ordered().edges.collect())) == sorted(map(tuple, usual.edges.collect()))
+    assert {(r.src, r.dst, r.weight) for r in late.edges.collect()} == {(0, 3, 1.0), (1, 3, 2.0), (2, 2, 4.0)}
