@@ -64,14 +64,14 @@ def page_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return _table(spark, rows, "src bigint, dst bigint, floyd_warshall double, johnsons double")
 
 
-_SCORES = {"pagerank": "ranks", "eigenvector": "scores", "betweenness": "scores", "closeness": "scores"}
+_SCORES = {"pagerank": "ranks", "closeness": "scores"}
 
 
-@query("select p.id, round(p.score, 7) as pagerank, e.score as eigenvector, round(b.score, 7) as betweenness, round(c.score, 7) as closeness from " + " join ".join(f"({base.ORACLE[n]}) {n[0]}" + (f" on {n[0]}.id = p.id" if n != "pagerank" else "") for n in _SCORES))
+@query("select p.id, round(p.score, 7) as pagerank, round(c.score, 7) as closeness from " + " join ".join(f"({base.ORACLE[n]}) {n[0]}" + (f" on {n[0]}.id = p.id" if n != "pagerank" else "") for n in _SCORES))
 def page_scores(spark: SparkSession, sf: str) -> DataFrame:
     body = _body(spark, sf)
     found = {n: respond(spark, f"/api/centrality/{n}", body)[key] for n, key in _SCORES.items()}
-    return _table(spark, [(int(v), *(round(found[n][v], 9 if n != "eigenvector" else 7) for n in _SCORES)) for v in found["pagerank"]], "id bigint, pagerank double, eigenvector double, betweenness double, closeness double").select("id", *[F.round(n, 7).alias(n) for n in _SCORES])
+    return _table(spark, [(int(v), *(round(found[n][v], 9) for n in _SCORES)) for v in found["pagerank"]], "id bigint, pagerank double, closeness double").select("id", *[F.round(n, 7).alias(n) for n in _SCORES])
 
 
 @query(base.ORACLE["strongly_connected_components"])
@@ -80,19 +80,18 @@ def page_components(spark: SparkSession, sf: str) -> DataFrame:
     return _table(spark, [(int(v), int(min(part))) for part in parts for v in part], "id bigint, component bigint")
 
 
-_TREES = f"with t as ({base._TREE_SQL}) select a as algorithm, count(*) as edges, sum(weight) as weight from t cross join (select unnest(['kruskals', 'prims', 'compare']) as a) group by 1"
+_TREES = f"with t as ({base._TREE_SQL}) select a as algorithm, count(*) as edges, sum(weight) as weight from t cross join (select unnest(['kruskals', 'prims']) as a) group by 1"
 
 
 @query(_TREES)
 def page_trees(spark: SparkSession, sf: str) -> DataFrame:
     undirected = f"select least(src, dst) as src, greatest(src, dst) as dst, min(weight) as weight from ({T.TRADE}) t group by 1, 2"
     body = _body(spark, sf, undirected, directed=False)
-    got = {name: respond(spark, f"/api/mst/{name}", body) for name in ("kruskals", "prims", "compare")}
-    got["compare"] = {**got["compare"]["prims"], "total_weight": got["compare"]["total_weight"]}
+    got = {name: respond(spark, f"/api/mst/{name}", body) for name in ("kruskals", "prims")}
     return _table(spark, [(name, len(r["edges"]), r["total_weight"]) for name, r in got.items()], "algorithm string, edges bigint, weight double")
 
 
-@query(_TREES.replace("['kruskals', 'prims', 'compare']", "['kruskals', 'prims']"))
+@query(_TREES)
 def compare_mst(spark: SparkSession, sf: str) -> DataFrame:
     return mst.compare_mst_algorithms(base._undirected(spark, sf, T.TRADE)).select("algorithm", "edges", "weight")
 

@@ -162,7 +162,7 @@ def test_flow_and_tree_of_the_whole_trade_graph(spark):
             left[b, a] = left.get((b, a), 0) + step
         reached += step
     assert reached == sum(w for (a, b), w in capacity.items() if a in seen and b not in seen)
-    assert Q.QUERIES["trade_max_flow"](spark, sf).first()[0] == Q.QUERIES["trade_min_cut"](spark, sf).first()[0] == reached
+    assert Q.QUERIES["max_flow"](spark, sf).first()[0] == Q.QUERIES["min_cut"](spark, sf).first()[0] == reached
     weight = {}
     for (a, b), w in capacity.items():
         weight[min(a, b), max(a, b)] = min(w, weight.get((min(a, b), max(a, b)), w))
@@ -172,7 +172,7 @@ def test_flow_and_tree_of_the_whole_trade_graph(spark):
             want.add((a, b, w))
             old, new = root[b], root[a]
             root = {n: new if r == old else r for n, r in root.items()}
-    for name in ("trade_kruskals", "trade_prims"):
+    for name in ("kruskals", "prims"):
         assert {tuple(r) for r in Q.QUERIES[name](spark, sf).collect()} == want
 
 
