@@ -4,12 +4,11 @@ One bit-sliced Bloom filter serves all languages, however many: each slot holds
 words of 64 bits, an n-gram's answer is the AND of its slots. A text's n-grams are counted per language, the counts corrected
 for the expected false positives of that language's slice, and the largest corrected share decides.
 
-Learning uses at most about ``LEARN_DOCS`` documents (chosen by a hash of their id, equal shares for each
-language) of those that the caller allows; an n-gram belongs to a language when it is at least
+Learning counts every labelled document that the caller allows; an n-gram belongs to a language when it is at least
 ``LEAST_SHARE`` of the language's n-grams, so no more than ``1 / LEAST_SHARE`` are kept for each.
 
 Whether a text is in a learned language at all is decided by a gate for its number of n-grams. The gates lie between
-two measured distributions: scores of labelled documents that were not learned, and scores of the same documents
+two measured distributions: scores of all labelled documents that were not learned, and scores of the same documents
 with their own language (and its kin, such as ``en-US`` of ``en``) left out; starts of them stand for short texts.
 
 Odd input: null texts and texts without a letter are ``und`` with score 0; with nothing to learn from every
@@ -32,13 +31,11 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from ..plans import bound_batches
 from .kernels import LANES, U64, batches, gram_hashes, mix, text_bytes
 
-LEARN_DOCS = 20_000
 LEAST_SHARE = 5e-5
 SLOTS = 1 << 19
 PROBES = 3
 GRAM = 4
 WORD = 64
-GATE_DOCS = 4_000
 #: Gates by the power of two of a text's n-grams.
 SIZES = 13
 STEPS = 100
@@ -85,9 +82,6 @@ def learn(docs: DataFrame, allowed: Column) -> LanguageModel:
     languages = list(counts)
     if not languages:
         return LanguageModel([], np.zeros((0, SLOTS), U64), np.zeros(0), [], np.zeros((0, 0), bool))
-    each = LEARN_DOCS / len(languages)
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, each / n))])
-    chosen = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
     number = {lang: i for i, lang in enumerate(languages)}
 
     def count(it):
@@ -106,7 +100,7 @@ def learn(docs: DataFrame, allowed: Column) -> LanguageModel:
             grams, n = _summed(parts)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), k, np.int32)), pa.array(grams.view(np.int64)), pa.array(n.astype(np.int64))], ["k", "gram", "n"])
 
-    tally = chosen.select("lang", "text").mapInArrow(count, "k int, gram bigint, n bigint").groupBy("k", "gram").agg(F.sum("n").alias("n"))
+    tally = labelled.select("lang", "text").mapInArrow(count, "k int, gram bigint, n bigint").groupBy("k", "gram").agg(F.sum("n").alias("n"))
     totals = tally.groupBy("k").agg(F.sum("n").alias("total"))
     kept = tally.join(F.broadcast(totals), "k").where(F.col("n") >= F.greatest(F.lit(2.0), F.col("total") * LEAST_SHARE)).select("k", "gram").toPandas()
     slots = np.zeros((-(-len(languages) // WORD), SLOTS), U64)
@@ -144,17 +138,14 @@ def _bit(masks: np.ndarray, k: int) -> np.ndarray:
 
 
 def measure_gates(docs: DataFrame, model: LanguageModel, unseen: Column) -> np.ndarray:
-    """The least score of each size class, from the labelled rows of ``docs`` that ``unseen`` admits.
+    """The least score of each size class, from all labelled rows of ``docs`` that ``unseen`` admits.
 
     Costs are means over languages. With no language to leave out, the gate is half of the median score; without any
     labelled unseen row nothing is rejected.
     """
     bound_batches(docs.sparkSession)
-    each = GATE_DOCS / len(model.languages)
     number = {lang: i for i, lang in enumerate(model.languages)}
-    share = F.create_map(*[F.lit(x) for lang, n in zip(model.languages, model.documents) for x in (lang, min(1.0, 2 * each / n))])
     labelled = docs.where(unseen & F.col("lang").isin(model.languages) & F.col("text").isNotNull())
-    chosen = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
     shared = docs.sparkSession.sparkContext.broadcast((model.slots, model.false_rates, model.kin))
 
     def measure(it):
@@ -183,7 +174,7 @@ def measure_gates(docs: DataFrame, model: LanguageModel, unseen: Column) -> np.n
         side, k, c, step = np.nonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (side, k, c, step, found[side, k, c, step])], ["side", "k", "c", "step", "n"])
 
-    rows = chosen.select("lang", "text").mapInArrow(measure, "side bigint, k bigint, c bigint, step bigint, n bigint")
+    rows = labelled.select("lang", "text").mapInArrow(measure, "side bigint, k bigint, c bigint, step bigint, n bigint")
     found = np.zeros((2, len(model.languages), SIZES, STEPS + 1))
     for r in rows.groupBy("side", "k", "c", "step").agg(F.sum("n").alias("n")).collect():
         found[r["side"], r["k"], r["c"], r["step"]] = r["n"]

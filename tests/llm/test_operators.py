@@ -314,6 +314,15 @@ def test_html_without_marked_article():
     assert [len(t) for t in html_extraction.main_text(page(p(4000), links, p(30), p(100)))] == [4000, 30, 100]
 
 
+def test_rare_words_of_many_documents_are_learned(spark):
+    """Words that two documents in 36,000 hold are learned, whichever these are, and gates rest on all the others."""
+    word = F.when(F.col("id") < 50, F.repeat(F.chr(F.lit(98) + F.col("id") % 25), F.lit(4))).otherwise("aaaa")
+    docs = spark.range(36_000).select(F.col("id").alias("doc_id"), word.alias("text"), F.lit("en").alias("lang"))
+    model = language.learn(docs, F.lit(True))
+    rare = language.identify(docs.where("doc_id < 25"), model, ["doc_id"]).collect()
+    assert len(rare) == 25 and all(r.score > 0.99 for r in rare)
+
+
 def plain_line_blocks(lines):
     """Lines (text, count) between dives around which some window surges, written out over windows."""
     n, windows = len(lines), [sum(c for _, c in lines[i : i + 3]) for i in range(len(lines))]
