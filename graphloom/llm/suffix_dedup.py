@@ -352,13 +352,18 @@ def _finish(length: int, shape):
     return run
 
 
+def _counts(total: int, least: int) -> tuple[int, int]:
+    """Blocks of texts and parts of keys. A pass sends a record from each block to each part and one back, so their product
+    bounds the records, whatever the texts hold; a few blocks for each task would square that for small tables."""
+    return max(2 * least, -(-total // BLOCK_BYTES)), max(least, -(-total // (BLOCK_BYTES // 4)))
+
+
 def _over_blocks(docs: DataFrame, length: int, shape, schema: str, hot: int) -> DataFrame:
     spark = docs.sparkSession
     bound_batches(spark)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     least = shuffle_partitions(spark)
-    n_blocks = max(4 * least, -(-total // BLOCK_BYTES))
-    parts = max(least, -(-total // (BLOCK_BYTES // 4)))
+    n_blocks, parts = _counts(total, least)
     blocks = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int"))
     keys = blocks.groupBy("block").applyInArrow(_send_keys(parts, length, hot), ROUTED)
     replies = keys.groupBy("part").applyInArrow(_meet_keys(hot), ROUTED)

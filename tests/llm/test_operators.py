@@ -323,6 +323,18 @@ def test_rare_words_of_many_documents_are_learned(spark):
     assert len(rare) == 25 and all(r.score > 0.99 for r in rare)
 
 
+def test_records_between_blocks_and_parts_stay_few(spark, monkeypatch):
+    """A passage in every text: records of a pass follow from blocks and parts, not from the texts."""
+    common, seen = "".join(random.Random(1).choices("abcdefgh ", k=160)), []
+    docs = spark.createDataFrame([(k, f"{k} {common}") for k in range(300)], "doc_id long, text string")
+    over = type(docs).groupBy
+    monkeypatch.setattr(type(docs), "groupBy", lambda self, *by: (by == ("part",) and seen.append(self)) or over(self, *by))
+    found = suffix_dedup.repeated_spans(docs)
+    assert found.where("n_removed >= 100").count() == 299
+    keys = seen[0].count()
+    assert seen[0].columns == ["part", "block", "kind", "blob"] and keys <= 2 * 2 * 2
+
+
 def plain_line_blocks(lines):
     """Lines (text, count) between dives around which some window surges, written out over windows."""
     n, windows = len(lines), [sum(c for _, c in lines[i : i + 3]) for i in range(len(lines))]
