@@ -1,8 +1,8 @@
 """Maximum flow, minimum cut and bipartite matching.
 
 A flow is one sequential kernel per query, so many (source, sink) queries run side by side; the graph that it
-sees is first cut to the nodes between source and sink. Matching splits by connected component, which are
-independent, and runs a kernel for each.
+sees is first cut to the nodes between source and sink. Matching goes by rounds of joins; a kernel
+matches small components only.
 """
 
 from __future__ import annotations
@@ -14,10 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from .components import component_labels
+from ..plans import Scratch
+from .matching import maximum_matching
 from .traversal import bfs
 
 EPS = 1e-12
+#: Up to so many pairs, or pairs of a component, are matched in one task, which is quicker there than forests; the matching is a maximum either way.
+FEW_PAIRS = 400_000
 
 
 def _max_flow(rows: list[tuple], source, sink) -> tuple[float, dict, set]:
@@ -153,15 +156,18 @@ def hopcroft_karp(graph: Graph, left: DataFrame, right: DataFrame) -> DataFrame:
     """left, right of a maximum matching between ``left(id)`` and ``right(id)``; other edges are ignored."""
     if not left.select("id").intersect(right.select("id")).isEmpty():
         raise ValueError("left and right must not overlap")
-    pairs = graph.bipartite_edges(left, right)
+    scratch = Scratch(graph.nodes.sparkSession, "pairs")
+    pairs = scratch.save(graph.bipartite_edges(left, right), "pairs")
     kind = pairs.schema["left"].dataType.simpleString()
-    comp = component_labels(pairs.select(F.col("left").alias("src"), F.col("right").alias("dst")))
-    placed = pairs.join(comp.withColumnRenamed("id", "left"), "left")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(list(matched(list(zip(pdf.left.tolist(), pdf.right.tolist()))).items()), columns=["left", "right"])
 
-    return placed.groupBy("component").applyInPandas(run, f"left {kind}, right {kind}")
+    if pairs.count() > FEW_PAIRS:
+        found = maximum_matching(pairs, FEW_PAIRS, run)
+        scratch.drop("pairs")
+        return found
+    return pairs.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(run, f"left {kind}, right {kind}")
 
 
 bipartite_matching = hopcroft_karp

@@ -213,7 +213,7 @@ def max_flow_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def hopcroft_karp(spark: SparkSession, sf: str) -> DataFrame:
-    g = T.table_graph(spark, sf, T.ORDER_PART)
+    g = T.table_graph(spark, sf, T.ORDER_PART, weighted=False)
     return flows.hopcroft_karp(g, g.nodes.where("id >= 10000000"), g.nodes.where("id < 10000000"))
 
 

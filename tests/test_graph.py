@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import present, stats
 from graphloom.graph import Graph
-from graphloom.operators import centrality, flows, mst, paths, traversal
+from graphloom.operators import centrality, flows, matching, mst, paths, traversal
 from graphloom.plans import Scratch
 from graphloom.sources import generators, json_io
 
@@ -112,6 +112,69 @@ def test_matching(spark):
     assert flows.hopcroft_karp(g, left, right).count() == 3
 
 
+def _matching_size(pairs):
+    """Kuhn's augmenting paths."""
+    near, mate = {}, {}
+    for a, b in pairs:
+        near.setdefault(a, []).append(b)
+
+    def found(a, seen):
+        for b in near[a]:
+            if b not in seen:
+                seen.add(b)
+                if b not in mate or found(mate[b], seen):
+                    mate[b] = a
+                    return True
+        return False
+
+    return sum(found(a, set()) for a in near)
+
+
+@pytest.mark.parametrize("n_left,n_right,turned", [(60, 60, False), (90, 50, True)])
+def test_matching_without_a_task_for_a_component(spark, monkeypatch, n_left, n_right, turned):
+    """A sparse random graph and a star; text ids, edges either way round."""
+    draw = random.Random(n_left)
+    pairs = {(f"l{draw.randrange(n_left)}", f"r{draw.randrange(n_right)}") for _ in range(130)} | {(f"ls{k}", "rs") for k in range(9)}
+    g = Graph.of(spark, [*(p[::-1] if turned else p for p in sorted(pairs)), ("l0", "l1"), ("q", "r0")])
+    monkeypatch.setattr(flows, "FEW_PAIRS", 0)
+    monkeypatch.setattr(flows, "matched", None)
+    found = [(r.left, r.right) for r in flows.hopcroft_karp(g, g.nodes.where("id like 'l%'"), g.nodes.where("id like 'r%'")).collect()]
+    assert set(found) <= pairs and len({a for a, _ in found}) == len({b for _, b in found}) == len(found) == _matching_size(sorted(pairs))
+
+
+def test_matching_turns_long_paths(spark, monkeypatch):
+    """From a matching with a hole at each end of a path, nine levels lead to the whole one; a second path has no way out."""
+    rows = [(k, 100 + k) for k in range(9)] + [(k + 1, 100 + k) for k in range(8)] + [(50, 150), (51, 150), (52, 152)]
+    start = [(100 + k, k + 1) for k in range(8)] + [(150, 51), (152, 52)]
+    monkeypatch.setattr(matching, "_maximal", lambda pairs, scratch: scratch.save(spark.createDataFrame([p[:: 1 if pairs.first()["a"] >= 100 else -1] for p in start], "a bigint, b bigint"), "mates"))
+    monkeypatch.setattr(traversal, "MERGE_LEVELS", 3)
+    found = {(r.left, r.right) for r in matching.maximum_matching(spark.createDataFrame(rows, "left bigint, right bigint")).collect()}
+    assert {p for p in found if p[0] < 50} == {(k, 100 + k) for k in range(9)} and len(found) == 11 and found <= set(rows)
+
+
+def test_matching_of_small_and_large_components(spark, monkeypatch):
+    """From a start with a hole at each end of three paths, those of five pairs go to a task each, one of nine to forests."""
+    whole = [(10 * c + k, 1000 + 10 * c + k) for c, n in enumerate((3, 5, 3)) for k in range(n)]
+    start = [(u + 1, v) for u, v in whole if (u + 1, v + 1) in whole]
+    pairs = spark.createDataFrame(whole + start, "left bigint, right bigint")
+    monkeypatch.setattr(matching, "_maximal", lambda pairs, scratch: scratch.save(spark.createDataFrame([p[:: 1 if pairs.first()["a"] < 1000 else -1] for p in start], "a bigint, b bigint"), "mates"))
+    grown, turned = [], matching._turned
+    monkeypatch.setattr(matching, "_turned", lambda pairs, mates, free: grown.append(pairs.count()) or turned(pairs, mates, free))
+
+    def run(pdf):
+        assert len(pdf) == 5
+        return pdf.assign(own=pdf.right - pdf.left).query("own == 1000")[["left", "right"]]
+
+    assert {(r.left, r.right) for r in matching.maximum_matching(pairs, 5, run).collect()} == set(whole) and set(grown) == {9}
+
+
+def test_pairs_of_overlapping_sides(spark):
+    for directed in (False, True):
+        g = Graph.of(spark, [(0, 1), (1, 0), (1, 1), (1, 2)], directed=directed)
+        got = sorted(map(tuple, g.bipartite_edges(g.nodes.where("id < 2"), g.nodes.where("id > 0")).collect()))
+        assert got == [(0, 1), (1, 1), (1, 2)]
+
+
 def test_spanning_trees(spark):
     g = Graph.of(spark, [(0, 1, 1), (1, 2, 1), (2, 3, 1), (3, 0, 1), (0, 2, 1), (1, 3, 5)], weighted=True)
     both = mst.compare_mst_algorithms(g).collect()
